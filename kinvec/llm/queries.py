@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from .decontamination import OP6_SQL, op6_decontamination
 from .packing import op5_packing
+from .substring_dedup import OP4_SQL, op4_substring_dedup
 from .token_counts import op9_token_counts
 
 QUERIES = {
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_packing": op5_packing,
+    "op6_decontamination": op6_decontamination,
     "op9_token_counts": op9_token_counts,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_substring_dedup": OP4_SQL,
+    "op6_decontamination": OP6_SQL,
+}
