@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontamination import OP6_SQL, op6_decontamination
 from .packing import op5_packing
+from .quality import op10_quality_rules
 from .substring_dedup import OP4_SQL, op4_substring_dedup
 from .token_counts import op9_token_counts
 
@@ -12,6 +13,7 @@ QUERIES = {
     "op5_packing": op5_packing,
     "op6_decontamination": op6_decontamination,
     "op9_token_counts": op9_token_counts,
+    "op10_quality_rules": op10_quality_rules,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_substring_dedup": OP4_SQL,
