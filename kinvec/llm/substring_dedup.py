@@ -11,8 +11,10 @@ Then the batch becomes a run itself, and too many runs are compacted into one.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,21 +75,49 @@ class FingerprintIndex:
         self.runs: dict[str, list[str]] = {"documents": [], "coarse": [], "windows": []}
         self.heap: list[DataFrame] = []
 
-    def history(self, grain: str, empty: DataFrame) -> DataFrame:
-        return self.spark.read.parquet(*self.runs[grain]) if self.runs[grain] else empty.limit(0)
+    def history(self, grain: str, schema: str) -> DataFrame:
+        """Every row of the runs of a grain."""
+        found = self.runs[grain]
+        return self.spark.read.schema(schema).parquet(*found) if found else self.spark.createDataFrame([], schema)
 
-    def append(self, grain: str, rows: DataFrame, keys: list[str]) -> None:
-        """A new sorted run; the runs of a grain are compacted into one when they are too many."""
+    def append(self, grain: str, rows: DataFrame, keys: list[str]) -> DataFrame:
+        """Rows, dealt by keys, as a new sorted run; returns it. Too many runs are compacted into one.
+
+        Of a column besides the keys, compaction keeps the greatest value.
+        """
         path = f"{self.path}/{grain}/{uuid.uuid4().hex}"
-        rows.repartition(*keys).sortWithinPartitions(*keys).write.parquet(path)
+        rows.sortWithinPartitions(*keys).write.parquet(path)
+        run = self.spark.read.schema(rows.schema).parquet(path)
         self.runs[grain].append(path)
         if len(self.runs[grain]) > RUNS:
-            merged = f"{self.path}/{grain}/{uuid.uuid4().hex}"
-            every = self.spark.read.parquet(*self.runs[grain])
+            every = self.spark.read.schema(rows.schema).parquet(*self.runs[grain])
             others = [F.max(c).alias(c) for c in every.columns if c not in keys]
-            every = every.groupBy(*keys).agg(*others) if others else every.distinct()
-            every.sortWithinPartitions(*keys).write.parquet(merged)
+            merged = f"{self.path}/{grain}/{uuid.uuid4().hex}"
+            (every.groupBy(*keys).agg(*others) if others else every.distinct()).sortWithinPartitions(*keys).write.parquet(merged)
             self.runs[grain] = [merged]
+        return run
+
+    def _small(self, column: DataFrame) -> np.ndarray | None:
+        """A column of longs, sorted, if it has few enough rows to be broadcast."""
+        if column.count() > self.limit:
+            return None
+        return np.sort(np.array([r[0] for r in column.toLocalIterator()], np.int64))
+
+    def _without(self, docs: DataFrame, gone: DataFrame) -> DataFrame:
+        """The rows of docs whose doc_id is not in gone."""
+        ids = self._small(gone)
+        if ids is None:
+            return docs.join(gone, "doc_id", "left_anti")
+        if not len(ids):
+            return docs
+        known = self.spark.sparkContext.broadcast(ids)
+
+        def run(batches):
+            for batch in batches:
+                got, own = batch.column("doc_id").to_numpy(), known.value
+                yield batch.filter(pa.array(own[np.minimum(np.searchsorted(own, got), len(own) - 1)] != got))
+
+        return docs.mapInArrow(run, docs.schema)
 
     def _windows(self, docs: DataFrame, wanted: DataFrame) -> DataFrame:
         """doc_id, pos, k1, k2 of the windows of docs that have one of the wanted coarse fingerprints."""
@@ -98,8 +128,9 @@ class FingerprintIndex:
             joined = [np.concatenate(x) if x else np.empty(0, np.int64) for x in zip(*found)]
             return {"doc_id": np.repeat(np.array(ids, np.int64), n), "pos": joined[0].astype(np.int32), "k1": joined[1], "k2": joined[2].astype(np.int32)}
 
-        if wanted.count() <= self.limit:
-            known = self.spark.sparkContext.broadcast(np.sort(np.array([r.c for r in wanted.toLocalIterator()], np.int64)))
+        small = self._small(wanted)
+        if small is not None:
+            known = self.spark.sparkContext.broadcast(small)
 
             def start():
                 return lambda ids, text: rows(ids, [window_fingerprints(t.split(), known.value) for t in text])
@@ -124,35 +155,32 @@ class FingerprintIndex:
         raw = texts(docs).where("doc_id is not null")
         batch = durable(map_columns(raw, _coarse_rows, "doc_id long, f1 long, f2 long, n long, coarse array<long>"))
         whole = batch.where(f"n >= {WINDOW}").groupBy("f1", "f2").agg(F.min("doc_id").alias("first"))
-        seen = self.history("documents", whole.select("f1", "f2")).select("f1", "f2", F.lit(True).alias("old"))
-        whole = durable(whole.join(seen, ["f1", "f2"], "left").select("f1", "f2", "first", F.coalesce("old", F.lit(False)).alias("old")))
+        seen = self.history("documents", "f1 long, f2 long, first long, old boolean").select("f1", "f2", F.lit(True).alias("seen"))
+        whole = whole.join(seen.distinct(), ["f1", "f2"], "left").select("f1", "f2", "first", F.col("seen").isNotNull().alias("old"))
+        whole = self.append("documents", whole, ["f1", "f2"])
         marked = batch.where(f"n >= {WINDOW}").join(whole, ["f1", "f2"])
-        copies = marked.where("old or doc_id > first").select("doc_id")
-        fresh = marked.where("not old and doc_id = first").select("doc_id", "coarse")
-
-        counted = fresh.select(F.explode("coarse").alias("c")).groupBy("c").agg(F.count("*").alias("n"))
-        past = self.history("coarse", counted.select("c", F.lit(False).alias("twice"))).groupBy("c").agg(F.max("twice").alias("was_twice"))
-        counted = durable(counted.join(past, "c", "left").select("c", (F.col("n") > 1).alias("here"), "was_twice"))
-        wanted = counted.where("here or was_twice is not null").select("c")
-        windows = durable(self._windows(raw, wanted))  # those of copies too: no copy comes first, so they change no other row
-        once = counted.where("was_twice = false").select("c")
-        back = [durable(self._windows(h, once).select("k1", "k2").distinct()) for h in self.heap] if self.heap and not once.isEmpty() else []
-
+        copies = durable(marked.where("old or doc_id > first").select("doc_id"))
+        fresh = marked.where("not old and doc_id = first").select(F.explode("coarse").alias("c"))
+
+        past = self.history("coarse", "c long, twice boolean, again boolean").groupBy("c").agg(F.max("twice").alias("was_twice"))
+        counted = fresh.groupBy("c").agg((F.count("*") > 1).alias("here")).join(past, "c", "left")
+        counted = counted.select("c", (F.col("here") | F.col("was_twice").isNotNull()).alias("twice"), (~F.coalesce("was_twice", F.lit(True))).alias("again"))
+        counted = self.append("coarse", counted, ["c"])
+
+        # Windows of earlier batches come from their runs, and from the texts where a fingerprint was single until now.
+        again = counted.where("again").select("c")
+        back = [self._windows(h, again).select("k1", "k2").distinct() for h in self.heap] if self.heap and not again.isEmpty() else []
+        earlier = reduce(DataFrame.unionByName, back, self.history("windows", "k1 long, k2 int, first struct<doc_id: long, pos: int>, n long").select("k1", "k2"))
+        earlier = earlier.distinct().withColumn("old", F.lit(True))
+        self.heap.append(self._without(raw, copies))
+        windows = durable(self._windows(self.heap[-1], counted.where("twice").select("c")))
         hashes = windows.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n"))
-        earlier = self.history("windows", hashes.select("k1", "k2"))
-        for b in back:
-            earlier = earlier.unionByName(b)
-        earlier = earlier.select("k1", "k2").distinct().withColumn("old", F.lit(True))
-        found = durable(hashes.join(earlier, ["k1", "k2"], "left").where("n > 1 or old").select("k1", "k2", "first", F.coalesce("old", F.lit(False)).alias("old")))
-        flagged = windows.join(found, ["k1", "k2"]).where(F.col("old") | (F.struct("doc_id", "pos") > F.col("first"))).select("doc_id", F.lit(False).alias("copy"), "pos")
-
-        self.append("documents", whole.where("not old").select("f1", "f2"), ["f1", "f2"])
-        self.append("coarse", counted.select("c", (F.col("here") | F.col("was_twice").isNotNull()).alias("twice")), ["c"])
-        new = windows.select("k1", "k2")
+        hashes = self.append("windows", hashes, ["k1", "k2"])
+        found = hashes.join(earlier, ["k1", "k2"], "left").where("n > 1 or old").select("k1", "k2", "first", F.coalesce("old", F.lit(False)).alias("old"))
+        flagged = windows.join(durable(found), ["k1", "k2"]).where(F.col("old") | (F.struct("doc_id", "pos") > F.col("first")))
+        flagged = flagged.select("doc_id", F.lit(False).alias("copy"), "pos")
         for b in back:
-            new = new.unionByName(b)
-        self.append("windows", new.distinct(), ["k1", "k2"])
-        self.heap.append(raw)
+            self.append("windows", b.select("k1", "k2", F.lit(None).cast("struct<doc_id: long, pos: int>").alias("first"), F.lit(0).cast("long").alias("n")), ["k1", "k2"])
         return flagged.unionByName(copies.select("doc_id", F.lit(True).alias("copy"), F.lit(None).cast("int").alias("pos")))
 
 
