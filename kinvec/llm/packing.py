@@ -28,7 +28,7 @@ END_ID = 2
 CACHE = 400_000
 STREAMED = 2_000_000
 #: Pieces of one length are ranked in groups of about so many.
-RANKED_TOGETHER = 20_000
+RANKED_TOGETHER = 1_000
 
 
 class CapacityTree:
