@@ -5,10 +5,12 @@ from __future__ import annotations
 from .decontamination import OP6_SQL, op6_decontamination
 from .packing import op5_packing
 from .quality import op10_quality_rules
+from .suffix_dedup import OP1_SQL, op1_suffix_dedup
 from .substring_dedup import OP4_SQL, op4_substring_dedup
 from .token_counts import op9_token_counts
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_packing": op5_packing,
     "op6_decontamination": op6_decontamination,
@@ -16,6 +18,7 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op1_suffix_dedup": OP1_SQL,
     "op4_substring_dedup": OP4_SQL,
     "op6_decontamination": OP6_SQL,
 }
