@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,3 +75,53 @@ def map_columns(
                     yield pa.RecordBatch.from_arrays(made, names=arrow.names)
 
     return df.mapInArrow(run, spark_schema)
+
+
+#: Rows of a column of longs that are broadcast at most (8 bytes each).
+BROADCAST_LONGS = 2_000_000
+
+
+def small_column(column: DataFrame, limit: int = BROADCAST_LONGS) -> np.ndarray | None:
+    """A column of longs, sorted, if it has few enough rows to be broadcast; else None."""
+    if column.count() > limit:
+        return None
+    return np.sort(np.array([r[0] for r in column.toLocalIterator()], np.int64))
+
+
+def restricted(docs: DataFrame, ids: DataFrame, inside: bool, limit: int = BROADCAST_LONGS) -> DataFrame:
+    """The rows of docs whose doc_id is (inside) or is not in ids(doc_id); null is in no ids.
+
+    While ids are few they are broadcast and docs are filtered where they are read; else docs are joined.
+    """
+    known = small_column(ids, limit)
+    if known is None:
+        return docs.join(ids.distinct(), "doc_id", "left_semi" if inside else "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    if not len(known):
+        return docs.limit(0) if inside else docs
+    shared = docs.sparkSession.sparkContext.broadcast(known)
+    at = docs.columns.index("doc_id")
+    bounded_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in batches:
+            column = batch.column(at)
+            got = column.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            found = own[np.minimum(np.searchsorted(own, got), len(own) - 1)] == got
+            found &= column.is_valid().to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array(found if inside else ~found))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def with_marks(docs: DataFrame, marks: DataFrame, limit: int = BROADCAST_LONGS) -> DataFrame:
+    """docs left-joined with marks, one row for each doc_id that has any.
+
+    While the marked ids are few, only the marked rows are shuffled.
+    """
+    marks = durable(marks)
+    ids = marks.select("doc_id")
+    if small_column(ids, limit) is None:
+        return docs.join(marks, "doc_id", "left")
+    empty = {f.name: F.lit(None).cast(f.dataType) for f in marks.schema if f.name != "doc_id"}
+    return restricted(docs, ids, True, limit).join(marks, "doc_id").unionByName(restricted(docs, ids, False, limit).withColumns(empty))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontamination import OP6_SQL, op6_decontamination
+from .near_dedup import op2_near_dedup
 from .packing import op5_packing
 from .quality import op10_quality_rules
 from .suffix_dedup import OP1_SQL, op1_suffix_dedup
@@ -11,6 +12,7 @@ from .token_counts import op9_token_counts
 
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_near_dedup": op2_near_dedup,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_packing": op5_packing,
     "op6_decontamination": op6_decontamination,
