@@ -14,12 +14,11 @@ import uuid
 from functools import reduce
 
 import numpy as np
-import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, map_columns, read, shared_folder, texts
+from .common import durable, map_columns, read, restricted, shared_folder, small_column, texts, with_marks
 from .rolling import BASES, Hashes, grams, mix, sliding
 
 WINDOW = 20
@@ -97,28 +96,6 @@ class FingerprintIndex:
             self.runs[grain] = [merged]
         return run
 
-    def _small(self, column: DataFrame) -> np.ndarray | None:
-        """A column of longs, sorted, if it has few enough rows to be broadcast."""
-        if column.count() > self.limit:
-            return None
-        return np.sort(np.array([r[0] for r in column.toLocalIterator()], np.int64))
-
-    def _without(self, docs: DataFrame, gone: DataFrame) -> DataFrame:
-        """The rows of docs whose doc_id is not in gone."""
-        ids = self._small(gone)
-        if ids is None:
-            return docs.join(gone, "doc_id", "left_anti")
-        if not len(ids):
-            return docs
-        known = self.spark.sparkContext.broadcast(ids)
-
-        def run(batches):
-            for batch in batches:
-                got, own = batch.column("doc_id").to_numpy(), known.value
-                yield batch.filter(pa.array(own[np.minimum(np.searchsorted(own, got), len(own) - 1)] != got))
-
-        return docs.mapInArrow(run, docs.schema)
-
     def _windows(self, docs: DataFrame, wanted: DataFrame) -> DataFrame:
         """doc_id, pos, k1, k2 of the windows of docs that have one of the wanted coarse fingerprints."""
         out = "doc_id long, pos int, k1 long, k2 int"
@@ -128,7 +105,7 @@ class FingerprintIndex:
             joined = [np.concatenate(x) if x else np.empty(0, np.int64) for x in zip(*found)]
             return {"doc_id": np.repeat(np.array(ids, np.int64), n), "pos": joined[0].astype(np.int32), "k1": joined[1], "k2": joined[2].astype(np.int32)}
 
-        small = self._small(wanted)
+        small = small_column(wanted, self.limit)
         if small is not None:
             known = self.spark.sparkContext.broadcast(small)
 
@@ -169,10 +146,10 @@ class FingerprintIndex:
 
         # Windows of earlier batches come from their runs, and from the texts where a fingerprint was single until now.
         again = counted.where("again").select("c")
-        back = [self._windows(h, again).select("k1", "k2").distinct() for h in self.heap] if self.heap and not again.isEmpty() else []
+        back = [durable(self._windows(h, again).select("k1", "k2").distinct()) for h in self.heap] if self.heap and not again.isEmpty() else []
         earlier = reduce(DataFrame.unionByName, back, self.history("windows", "k1 long, k2 int, first struct<doc_id: long, pos: int>, n long").select("k1", "k2"))
         earlier = earlier.distinct().withColumn("old", F.lit(True))
-        self.heap.append(self._without(raw, copies))
+        self.heap.append(restricted(raw, copies, False, self.limit))
         windows = durable(self._windows(self.heap[-1], counted.where("twice").select("c")))
         hashes = windows.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n"))
         hashes = self.append("windows", hashes, ["k1", "k2"])
@@ -237,7 +214,7 @@ def substring_dedup(docs: DataFrame, batches: int = 2, index: FingerprintIndex |
 
         return batch
 
-    joined = texts(docs).join(marks, "doc_id", "left").select("doc_id", "text", "copy", "pos")
+    joined = with_marks(texts(docs), marks, index.limit).select("doc_id", "text", "copy", "pos")
     return map_columns(joined, start, "doc_id long, text string, n_words long, n_removed long")
 
 
