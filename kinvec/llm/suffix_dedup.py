@@ -19,13 +19,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, map_columns, read, texts
+from .common import durable, map_columns, read, texts, with_marks
 from .rolling import mix, sliding
 
 LENGTH = 400
 TRIGGER = 8
 #: One position in so many is a trigger.
-SPACING = 32
+SPACING = 20
 #: Longest phrase that may route a window; it must start in the window's first REACH bytes.
 PHRASE = 128
 REACH = LENGTH - PHRASE + 1
@@ -365,7 +365,7 @@ def remove_repeats(docs: DataFrame, **how) -> DataFrame:
 
         return batch
 
-    joined = texts(docs).join(spans, "doc_id", "left").select("doc_id", "text", "spans")
+    joined = with_marks(texts(docs), spans, how.get("broadcast_phrases", BROADCAST_PHRASES)).select("doc_id", "text", "spans")
     return map_columns(joined, start, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
