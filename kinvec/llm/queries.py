@@ -6,13 +6,15 @@ from .decontamination import OP6_SQL, op6_decontamination
 from .near_dedup import op2_near_dedup
 from .packing import op5_packing
 from .quality import op10_quality_rules
-from .suffix_dedup import OP1_SQL, op1_suffix_dedup
 from .substring_dedup import OP4_SQL, op4_substring_dedup
+from .suffix_dedup import OP1_SQL, op1_suffix_dedup
 from .token_counts import op9_token_counts
+from .toxicity import op3_toxicity
 
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_near_dedup": op2_near_dedup,
+    "op3_toxicity": op3_toxicity,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_packing": op5_packing,
     "op6_decontamination": op6_decontamination,
