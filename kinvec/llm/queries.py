@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontamination import OP6_SQL, op6_decontamination
 from .near_dedup import op2_near_dedup
 from .packing import op5_packing
+from .pii import op8_pii
 from .quality import op10_quality_rules
 from .substring_dedup import OP4_SQL, op4_substring_dedup
 from .suffix_dedup import OP1_SQL, op1_suffix_dedup
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_packing": op5_packing,
     "op6_decontamination": op6_decontamination,
     "op7_url_filters": op7_url_filters,
+    "op8_pii": op8_pii,
     "op9_token_counts": op9_token_counts,
     "op10_quality_rules": op10_quality_rules,
 }
