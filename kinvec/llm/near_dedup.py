@@ -26,7 +26,7 @@ SAMPLES = BANDS * ROWS
 #: Samples of SAMPLES that must agree for a pair to be verified: at similarity 0.8, 24 +- 2.2 do.
 AGREE = 15
 #: Longs of the bit set of a text's shingles, of which each sets one bit.
-BITS = 32
+BITS = 64
 #: Document frequencies are kept for so many hash buckets of shingles, so their size is fixed.
 BUCKETS = 1 << 18
 #: The rarest shingle weighs 1 + SPREAD times the commonest, so that a passage that very many texts
@@ -120,10 +120,10 @@ def may_reach(threshold: float, a: str, b: str):
     """False only for pairs below the threshold, from bit sets and total weights.
 
     At similarity J the weights outside the intersection sum to (1 - J) / (1 + J) of both totals. Each
-    shingle weighs 1 at least, and each differing bit takes one that only one of the texts has.
+    differing bit takes a shingle that only one of the texts has, and that weighs their least at least.
     """
     differing = F.aggregate(F.zip_with(f"{a}.bits", f"{b}.bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    return differing <= (1 - threshold) / (1 + threshold) * (F.col(f"{a}.total") + F.col(f"{b}.total")) + 1e-6
+    return differing * F.least(f"{a}.least", f"{b}.least") <= (1 - threshold) / (1 + threshold) * (F.col(f"{a}.total") + F.col(f"{b}.total")) + 1e-6
 
 
 def sketches(docs: DataFrame, idf: np.ndarray) -> DataFrame:
@@ -144,12 +144,13 @@ def sketches(docs: DataFrame, idf: np.ndarray) -> DataFrame:
                     out[i] = got[:, j]
             whole = [xxhash.xxh3_128_digest(b" ".join(t.split())) for t in text]
             f1, f2 = ([int.from_bytes(d[s], "little", signed=True) for d in whole] for s in (slice(0, 8), slice(8, 16)))
-            total = [float(weights(h, n, shared.value).sum()) for h, n in found]
-            return {"doc_id": ids, "f1": f1, "f2": f2, "samples": out, "bits": [bit_set(h) for h, _ in found], "total": total}
+            weight = [weights(h, n, shared.value) for h, n in found]
+            total, least = [float(w.sum()) for w in weight], [float(w.min(initial=np.inf)) for w in weight]
+            return {"doc_id": ids, "f1": f1, "f2": f2, "samples": out, "bits": [bit_set(h) for h, _ in found], "total": total, "least": least}
 
         return batch
 
-    return map_columns(docs, start, "doc_id long, f1 long, f2 long, samples array<long>, bits array<long>, total double")
+    return map_columns(docs, start, "doc_id long, f1 long, f2 long, samples array<long>, bits array<long>, total double, least double")
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -224,7 +225,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, limit: int =
     groups = durable(sketched.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep")))
     members = durable(sketched.select("doc_id", "f1", "f2").distinct().join(groups, ["f1", "f2"]).groupBy("doc_id").agg(F.min("rep").alias("rep")))
     reps = sketched.where("size(samples) > 0").join(groups.select(F.col("rep").alias("doc_id"), "f1", "f2"), ["doc_id", "f1", "f2"]).dropDuplicates(["doc_id"])
-    reps = durable(reps.select("doc_id", F.struct("samples", "bits", "total").alias("s")))
+    reps = durable(reps.select("doc_id", F.struct("samples", "bits", "total", "least").alias("s")))
 
     keys = F.array(*[F.xxhash64(F.lit(b), *[F.col("s.samples")[ROWS * b + i] for i in range(ROWS)]) for b in range(BANDS)])
     banded = reps.select("doc_id", "s", keys.alias("keys")).select("*", F.explode("keys").alias("key"))
