@@ -224,11 +224,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, limit: int =
     sketched = durable(sketches(own, idf))
     groups = durable(sketched.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep")))
     members = durable(sketched.select("doc_id", "f1", "f2").distinct().join(groups, ["f1", "f2"]).groupBy("doc_id").agg(F.min("rep").alias("rep")))
-    reps = sketched.where("size(samples) > 0").join(groups.select(F.col("rep").alias("doc_id"), "f1", "f2"), ["doc_id", "f1", "f2"]).dropDuplicates(["doc_id"])
-    reps = durable(reps.select("doc_id", F.struct("samples", "bits", "total", "least").alias("s")))
-
     keys = F.array(*[F.xxhash64(F.lit(b), *[F.col("s.samples")[ROWS * b + i] for i in range(ROWS)]) for b in range(BANDS)])
-    banded = reps.select("doc_id", "s", keys.alias("keys")).select("*", F.explode("keys").alias("key"))
+    drawn = sketched.where("size(samples) > 0").select("doc_id", "f1", "f2", F.struct("samples", "bits", "total", "least").alias("s"))
+    reps = drawn.select("doc_id", "f1", "f2", keys.alias("keys")).join(groups.select(F.col("rep").alias("doc_id"), "f1", "f2"), ["doc_id", "f1", "f2"])
+    banded = durable(reps.select("doc_id", F.explode("keys").alias("key")).distinct())
     crowd = durable(banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     banded = durable(banded.join(crowd, "key"))
     # First each text of a bucket is held against one pivot: the text whose buckets are fullest, as the
@@ -236,21 +235,22 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, limit: int =
     central = banded.groupBy("doc_id").agg(F.sum("n").alias("weight"))
     pivots = banded.select("key", "doc_id").join(central, "doc_id").select("key", "weight", (-F.col("doc_id")).alias("order"), F.col("doc_id").alias("pivot")).groupBy("key").agg(F.max(F.struct("weight", "order", "pivot")).alias("p"))
     pivots = durable(pivots.select("key", F.col("p.pivot").alias("pivot")))
-    of_pivot = reps.select(F.col("doc_id").alias("pivot"), F.col("s").alias("sp"))
-    stars = banded.select("key", "doc_id", "s").join(pivots, "key").where("doc_id <> pivot").dropDuplicates(["doc_id", "pivot"]).join(of_pivot, "pivot")
+    kept = durable(restricted(drawn, durable(banded.select("doc_id").distinct()), True, limit).select("doc_id", "s").dropDuplicates(["doc_id"]))
+    of_pivot = kept.select(F.col("doc_id").alias("pivot"), F.col("s").alias("sp"))
+    stars = banded.join(pivots, "key").where("doc_id <> pivot").select("doc_id", "pivot").distinct().join(kept, "doc_id").join(of_pivot, "pivot")
     stars = stars.where(may_reach(threshold, "s", "sp"))
     pairs = durable(stars.select(F.least("doc_id", "pivot").alias("a"), F.greatest("doc_id", "pivot").alias("b")).distinct())
-    ids = durable(banded.select("doc_id").distinct())
-    candidates = durable(restricted(own, ids, inside=True, limit=limit).dropDuplicates(["doc_id"]))
+    candidates = durable(restricted(own, kept.select("doc_id"), inside=True, limit=limit).dropDuplicates(["doc_id"]))
     links = durable(verified(pairs, candidates, idf, threshold))
     classes = components(links)
 
     # Then the pairs of a bucket that are not in one class yet; those of a very full bucket only where
     # they meet in another band as well.
     banded = banded.join(classes.select(F.col("v").alias("doc_id"), "class"), "doc_id", "left").withColumn("class", F.coalesce("class", "doc_id"))
-    full = banded.where(F.col("n") > crowded).select("*", F.explode("keys").alias("second")).where("second <> key")
-    full = full.select("doc_id", "s", "class", F.xxhash64("key", "second").alias("key"))
-    banded = durable(banded.where(F.col("n") <= crowded).select("doc_id", "s", "class", "key").unionByName(full))
+    full = banded.where(F.col("n") > crowded).join(kept.select("doc_id", F.explode(keys).alias("second")), "doc_id").where("second <> key")
+    full = full.select("doc_id", "class", F.xxhash64("key", "second").alias("key"))
+    banded = banded.where(F.col("n") <= crowded).select("doc_id", "class", "key").unionByName(full)
+    banded = durable(banded.join(kept, "doc_id"))
     a, b = (banded.select("key", F.col("doc_id").alias(x), F.col("s").alias(f"s{x}"), F.col("class").alias(f"c{x}")) for x in "ab")
     agree = F.size(F.filter(F.zip_with("sa.samples", "sb.samples", lambda x, y: x == y), lambda x: x))
     rest = a.join(b, (a.key == b.key) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (agree >= AGREE) & may_reach(threshold, "sa", "sb")).select("a", "b").distinct()
