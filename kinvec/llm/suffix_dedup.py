@@ -114,14 +114,15 @@ def pieces(raw: list[bytes], wanted: np.ndarray) -> tuple[list, list]:
 
 def suffix_ranks(symbols: np.ndarray, rank: np.ndarray, covered: int, upto: int) -> np.ndarray:
     """Ranks of suffixes by prefix doubling; rank has those by `covered` symbols; 0 stands beyond the end."""
-    n = len(symbols)
+    n, classes = len(symbols), 0
     while covered < upto and n:
         follow = np.zeros(n, np.uint64)
         follow[: max(0, n - covered)] = rank[covered:]
         key, rank = np.unique((rank.astype(np.uint64) << np.uint64(32)) | follow, return_inverse=True)
         rank = rank.astype(np.uint64) + np.uint64(1)
-        if len(key) == n:
-            break
+        if len(key) == classes:
+            break  # nothing was told apart, so nothing more can be
+        classes = len(key)
         covered *= 2
     return rank
 
@@ -185,12 +186,15 @@ def repeated_windows(raw: list[bytes], counts: list[int]) -> list[np.ndarray]:
 def _within(rank: np.ndarray, begin: np.ndarray, covered: int, upto: int) -> np.ndarray:
     """Prefix doubling that stops at the end of each phrase."""
     limit = np.repeat(begin[1:] - 1, np.diff(begin))
-    position = np.arange(len(rank))
+    position, classes = np.arange(len(rank)), 0
     while covered < upto:
         ahead = position + covered
         follow = np.where(ahead < limit, rank[np.minimum(ahead, len(rank) - 1)], np.uint64(0))
         key, got = np.unique((rank << np.uint64(32)) | follow, return_inverse=True)
         rank = got.astype(np.uint64) + np.uint64(1)
+        if len(key) == classes:
+            break
+        classes = len(key)
         covered *= 2
     return rank
 
