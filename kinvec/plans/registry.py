@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import retrieval  # noqa: F401  registers its queries
+from .common import ORACLE_SQL, QUERIES  # noqa: F401
+
 FLAGSHIP = "heldout_forward_retrieval"
