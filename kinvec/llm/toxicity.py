@@ -10,14 +10,13 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, map_columns, read, texts
+from .common import bounded_batches, durable, map_columns, read, texts
 
 #: Interchangeable identity terms (fixed values).
 IDENTITY_GROUPS = (
@@ -66,54 +65,50 @@ def counterfactual(words: set[bytes], groups=IDENTITY_GROUPS) -> set[bytes]:
     return {swap.get(w, w) for w in words}
 
 
-def train(words: list[set[bytes]], labels: list[int], groups=IDENTITY_GROUPS, penalty: float = 1.0, l2: float = 2e-2, rounds: int = 400) -> tuple[dict[bytes, float], float]:
-    """Weights of words and the intercept.
+def separation(texts_with: int, toxic_with: int, n: int, toxic: int) -> float:
+    """Standard errors between the rates of a feature in toxic and in other texts."""
+    p = texts_with / n
+    gap = abs(toxic_with / toxic - (texts_with - toxic_with) / (n - toxic))
+    return gap / (p * (1 - p) * (1 / toxic + 1 / (n - toxic)) + 1e-12) ** 0.5
+
+
+def vocabulary_of(counts: list[tuple[bytes, int, int]], n: int, toxic: int, groups=IDENTITY_GROUPS) -> dict[bytes, int]:
+    """Feature numbers from (feature, texts, toxic texts): the most telling, then the identity terms."""
+    terms = {t.encode() for g in groups for t in g}
+    kept = sorted((-separation(c, a, n, toxic), w) for w, c, a in counts if c >= LEAST_TEXTS and w not in terms)
+    return {w: i for i, w in enumerate([w for z, w in kept[:FEATURES] if -z >= ERRORS] + sorted(terms))}
+
+
+def encoded(words: set[bytes], vocabulary: dict[bytes, int], groups=IDENTITY_GROUPS) -> tuple[list[int], list[int], list[int]]:
+    """Feature numbers of a text, and those that its counterfactual loses and gains."""
+    other = counterfactual(words, groups)
+    number = lambda ws: sorted(vocabulary[w] for w in ws if w in vocabulary)
+    return number(features(words)), number(words - other), number(other - words)
+
+
+def fit(rows: list[tuple[list[int], list[int], list[int]]], labels: list[int], m: int, penalty: float = 1.0, l2: float = 2e-2, rounds: int = 400) -> tuple[np.ndarray, float]:
+    """Weights of m features and the intercept from encoded texts.
 
     Minimises log-loss + l2 |w|^2 + penalty * mean over texts with identity terms of (z - z')^2, where z
     and z' are the scores before the sigmoid of a text and its counterfactual. Gradient descent with
     momentum from zero: no randomness.
     """
     y = np.array(labels, float)
-    if not len(y) or y.min() == y.max():
-        rate = min(max(y.mean() if len(y) else 0.0, 1e-3), 1 - 1e-3)
-        return {}, float(np.log(rate / (1 - rate)))
-    total, toxic = Counter(), Counter()
-    plain, words = words, [features(w) for w in words]
-    for w, label in zip(words, labels):
-        total.update(w)
-        if label:
-            toxic.update(w)
-    terms = {t.encode() for g in groups for t in g}
     n, n1 = len(y), y.sum()
-    telling = []
-    for w, c in total.items():
-        if c >= LEAST_TEXTS and w not in terms:
-            a, p = toxic[w], c / n
-            z = abs(a / n1 - (c - a) / (n - n1)) / (p * (1 - p) * (1 / n1 + 1 / (n - n1)) + 1e-12) ** 0.5
-            if z >= ERRORS:
-                telling.append((-z, w))
-    vocabulary = {w: i for i, w in enumerate([w for _, w in sorted(telling)[:FEATURES]] + sorted(terms))}
-    rows = [np.array(sorted(vocabulary[w] for w in ws if w in vocabulary), np.int64) for ws in words]
-    size = np.array([len(r) for r in rows])
-    column, row = np.concatenate(rows), np.repeat(np.arange(n), size)
-    # Differences x - x' of the texts with identity terms.
-    dc, dr, dv, pairs = [], [], [], 0
-    for ws in plain:
-        if ws & terms:
-            other = counterfactual(ws, groups)
-            for w in ws - other:
-                dc.append(vocabulary[w]), dr.append(pairs), dv.append(1.0)
-            for w in other - ws:
-                dc.append(vocabulary[w]), dr.append(pairs), dv.append(-1.0)
-            pairs += 1
-    dc, dr, dv = np.array(dc, np.int64), np.array(dr, np.int64), np.array(dv)
-    m = len(vocabulary)
+    size = np.array([len(r[0]) for r in rows])
+    column = np.concatenate([np.array(r[0], np.int64) for r in rows])
+    row = np.repeat(np.arange(n), size)
+    swapped = [r for r in rows if r[1] or r[2]]
+    pairs = len(swapped)
+    entries = np.array([len(r[1]) + len(r[2]) for r in swapped], np.int64)
+    dc = np.array([i for r in swapped for i in [*r[1], *r[2]]], np.int64)
+    dr = np.repeat(np.arange(pairs), entries)
+    dv = np.array([v for r in swapped for v in [1.0] * len(r[1]) + [-1.0] * len(r[2])])
     w, b, vw, vb = np.zeros(m), float(np.log(n1 / (n - n1))), np.zeros(m), 0.0
     weight = np.where(y == 1, n / (2 * n1), n / (2 * (n - n1)))
     # Steps from a bound of the curvature: a row's entry counts as often as the row has entries.
     curve = np.bincount(column, (weight * (size + 1))[row] / (4 * n), m) + l2 / n
     if pairs:
-        entries = np.bincount(dr, minlength=pairs)
         curve += np.bincount(dc, 2 * penalty * entries[dr] / pairs, m)
     step, step_b = 1 / np.maximum(curve, 1e-12), 4 * n / (weight * (size + 1)).sum()
     for _ in range(rounds):
@@ -127,28 +122,56 @@ def train(words: list[set[bytes]], labels: list[int], groups=IDENTITY_GROUPS, pe
         vb = 0.9 * vb - step_b * g.sum()
         w += vw
         b += vb
-    w[np.abs(w) < 1e-9] = 0
-    return {k: float(w[i]) for k, i in vocabulary.items() if w[i]}, b
+    return w, b
 
 
-def labelled_words(docs: DataFrame, labels: DataFrame, limit: int) -> tuple[list[set[bytes]], list[int]]:
-    """Word sets and labels of at most `limit` learning rows; the driver gets nothing else."""
+def learning_rows(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
+    """toxic and words of at most `limit` learning rows: those of least hash of doc_id."""
     spark = docs.sparkSession
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic is not null and doc_id is not null").where(~held_out())
-    chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(limit)
+    chosen = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     ids = spark.sparkContext.broadcast({r.doc_id: r.toxic for r in chosen.collect()})
     bounded_batches(spark)
 
     def pick(batches):
         own = ids.value
         for batch in batches:
-            found = [(own[i], b"\n".join(sorted(word_set(t)))) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if i in own]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary())], names=["toxic", "words"])
+            here = [k for k, i in enumerate(batch.column(0).to_pylist()) if i in own]
+            if here:
+                got = batch.take(pa.array(here))
+                words = [[w.decode("utf-8", "replace") for w in sorted(word_set(t))] for t in got.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([own[i] for i in got.column(0).to_pylist()], pa.int32()), pa.array(words, pa.list_(pa.string()))], names=["toxic", "words"])
+
+    return texts(docs).mapInArrow(pick, "toxic int, words array<string>")
+
+
+def learned(docs: DataFrame, labels: DataFrame, limit: int, penalty: float, groups=IDENTITY_GROUPS) -> tuple[dict[bytes, float], float]:
+    """Weights of features and the intercept; features are counted and texts encoded on the executors."""
+    rows = durable(learning_rows(docs, labels, limit))
+    n, toxic = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    if not n or toxic in (0, n):
+        rate = min(max(toxic / n if n else 0.0, 1e-3), 1 - 1e-3)
+        return {}, float(np.log(rate / (1 - rate)))
+    begin = [F.transform(F.filter("words", lambda x, k=k: F.length(x) > k), lambda x, k=k: F.concat(F.lit("^"), F.substring(x, 1, k))) for k in BEGINNINGS]
+    counts = rows.select("toxic", F.explode(F.array_distinct(F.concat("words", *begin))).alias("f")).groupBy("f").agg(F.count("*").alias("c"), F.sum("toxic").alias("a"))
+    p, others = F.col("c") / n, n - toxic
+    z = F.abs(F.col("a") / toxic - (F.col("c") - F.col("a")) / others) / F.sqrt(p * (1 - p) * (1 / toxic + 1 / others) + 1e-12)
+    terms = [t for g in groups for t in g]
+    top = counts.where((F.col("c") >= LEAST_TEXTS) & (z >= ERRORS) & ~F.col("f").isin(terms)).orderBy(z.desc(), "f").limit(FEATURES)
+    vocabulary = vocabulary_of([(r.f.encode(), r.c, r.a) for r in top.collect()], n, toxic, groups)
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def start():
+        def batch(label, words):
+            got = [encoded({w.encode() for w in ws}, shared.value, groups) for ws in words]
+            return {"toxic": label, "x": [g[0] for g in got], "loses": [g[1] for g in got], "gains": [g[2] for g in got]}
+
+        return batch
 
-    rows = texts(docs).mapInArrow(pick, "toxic int, words binary")
-    out = sorted((bytes(r.words), r.toxic) for r in rows.toLocalIterator())
-    return [set(x.split(b"\n")) - {b""} for x, _ in out], [y for _, y in out]
+    coded = map_columns(rows, start, "toxic int, x array<int>, loses array<int>, gains array<int>")
+    coded = sorted((list(r.x), list(r.loses), list(r.gains), r.toxic) for r in coded.toLocalIterator())
+    w, b = fit([c[:3] for c in coded], [c[3] for c in coded], len(vocabulary), penalty)
+    return {k: float(w[i]) for k, i in vocabulary.items() if abs(w[i]) > 1e-9}, b
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, training_rows: int = TRAINING_ROWS, penalty: float = 1.0) -> DataFrame:
@@ -158,8 +181,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, trainin
     them; without usable labels every score is the same. Null and empty texts have no words and get the
     intercept's score. Only words enter a score. Rows are scored where they are read.
     """
-    weights, intercept = train(*labelled_words(docs, labels, training_rows), penalty=penalty)
-    model = docs.sparkSession.sparkContext.broadcast((weights, intercept))
+    model = docs.sparkSession.sparkContext.broadcast(learned(docs, labels, training_rows, penalty))
 
     def start():
         w, b = model.value

@@ -1,7 +1,7 @@
 import random
 import zlib
 
-from kinvec.llm.toxicity import toxicity, train, word_set
+from kinvec.llm.toxicity import encoded, features, fit, toxicity, vocabulary_of, word_set
 
 from .helpers import frame
 
@@ -26,10 +26,17 @@ def sentences(n, seed=0):
 def test_penalty_equalises_identity_terms():
     rows = sentences(600)
     words, labels = [word_set(t.encode()) for _, t, _ in rows], [y for _, _, y in rows]
+    counts = {}
+    for ws, y in zip(words, labels):
+        for f in features(ws):
+            c = counts.setdefault(f, [0, 0])
+            c[0] += 1
+            c[1] += y
+    vocabulary = vocabulary_of([(f, c, a) for f, (c, a) in counts.items()], len(rows), sum(labels))
 
     def gap(penalty):
-        w, _ = train(words, labels, penalty=penalty)
-        return abs(w.get(b"muslims", 0) - w.get(b"christians", 0)), w[b"vileword"]
+        w, _ = fit([encoded(ws, vocabulary) for ws in words], labels, len(vocabulary), penalty)
+        return abs(w[vocabulary[b"muslims"]] - w[vocabulary[b"christians"]]), w[vocabulary[b"vileword"]]
 
     (free, a), (held, b) = gap(0.0), gap(20.0)
     assert held < 0.2 * free and a > 1 and b > 1
