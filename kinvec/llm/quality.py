@@ -144,10 +144,13 @@ def quality(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def keep_quality(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs, with their own columns, that quality() keeps; measured where they are read."""
-    names = docs.columns
-    posterior = fitted(measured(docs))
-    return measured(docs, *names).where(~base_failed() & (posterior >= threshold)).select(*[F.col(f"`{c}`") for c in names])
+    """The rows of docs, with their own columns, that quality() keeps.
+
+    The measures are written with the rows: the posterior names each many times, and unless they are
+    stored the optimiser would put their expressions in place of the names.
+    """
+    rows = durable(measured(docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("_d"), "text"), "_d"))
+    return rows.where(~base_failed() & (fitted(rows) >= threshold)).select("_d.*")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

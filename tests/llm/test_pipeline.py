@@ -19,7 +19,7 @@ def test_stages_act_and_keep_columns(spark, tmp_path):
     texts = [prose(rnd, rnd.randrange(80, 200)) for _ in range(60)]
     item = " ".join(words(rnd, 15))
     rows = list(enumerate(texts))
-    rows += [(100, texts[0]), (101, texts[1].replace(texts[1].split()[40], "zzz")), (102, texts[2] + " " + item), (103, texts[3].replace("w1", "w1 joe@mail1.example.com"))]
+    rows += [(100, texts[0]), (101, texts[1].replace(f" {texts[1].split()[40]} ", " zzz ", 1)), (102, prose(rnd, 150) + " " + item), (103, prose(rnd, 150) + " joe@mail1.example.com.")]
     rows += [(110 + i, " ".join(f"{w}###" for w in words(rnd, 120))) for i in range(12)] + [(130, None), (131, ""), (132, "too short")]
     docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     sf = str(tmp_path)
