@@ -37,6 +37,9 @@ PATTERNS = {
     "female": rf"(?U)\b(?:{'|'.join(FEMALE)})\b",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+_NAMES = "|".join(f"(?:{PATTERNS[n]})" for n in ("surname", "male", "female"))
+#: All types but names need one of these; most texts have none and are searched for names alone.
+_MARKS = "[0-9@=:]|AKIA|ASIA"
 #: Rounds of drawing again before it is an error.
 ROUNDS = 20
 
@@ -168,7 +171,7 @@ def pseudonymised(docs: DataFrame, key: str, found: str = "n_entities") -> DataF
     get equal texts. A label before a secret, and a title before a name, stays.
     """
     names = [f"`{c}`" for c in docs.columns]
-    hit = F.coalesce(F.col("text").rlike(ANY), F.lit(False))
+    hit = F.coalesce(F.when(F.col("text").rlike(_MARKS), F.col("text").rlike(ANY)).otherwise(F.col("text").rlike(_NAMES)), F.lit(False))
     rest = docs.where(~hit).select(*names, F.lit(0).cast("long").alias(found))
     parts = docs.where(hit).select(F.struct(*names).alias("_d"), F.regexp_extract_all("text", F.lit(ANY), F.lit(0)).alias("_m"), F.split("text", ANY).alias("_g"))
     parts = durable(parts.withColumn("_row", F.monotonically_increasing_id()))
