@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.store import stored
+
 
 def edge_violations(edges: DataFrame, entities: DataFrame, statuses: tuple[str, ...] = ()) -> DataFrame:
     """One row of counters over edges(edge_id, anchor, derived[, status]); all zero for a valid universe."""
@@ -18,18 +20,20 @@ def edge_violations(edges: DataFrame, entities: DataFrame, statuses: tuple[str,
     return plain
 
 
-def on_cycles(edges: DataFrame, checkpoint=lambda df: df) -> DataFrame:
-    """Entities of edges(anchor, derived) that reach a cycle, by pointer doubling.
+def on_cycles(edges: DataFrame) -> DataFrame:
+    """Entities of edges(anchor, derived) from which a cycle is reached, by pointer doubling.
 
-    Each derived has one parent at most. After log2(n) rounds a pointer that still has a value has been
-    followed more often than there are entities. checkpoint cuts the lineage of each round.
+    Each derived has one parent at most. A round replaces each pointer by its pointer's pointer and is
+    stored, so plans stay small; entities whose way ends drop out. When 2^rounds exceeds their number,
+    who is left has been followed more often than there are entities.
     """
-    up = edges.select(F.col("derived").alias("node"), F.col("anchor").alias("up"))
-    n = up.count()
-    rounds = max(1, n).bit_length() + 1
-    for _ in range(rounds):
+    up = stored(edges.select(F.col("derived").alias("node"), F.col("anchor").alias("up")))
+    left, steps = up.count(), 1
+    total = left
+    while left and steps <= total:
         further = up.select(F.col("node").alias("up"), F.col("up").alias("next"))
-        up = checkpoint(up.join(further, "up").select("node", F.col("next").alias("up")))
+        up = stored(up.join(further, "up").select("node", F.col("next").alias("up")))
+        left, steps = up.count(), steps * 2
     return up.select("node").distinct()
 
 

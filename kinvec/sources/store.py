@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,3 +89,16 @@ def encode_texts(df: DataFrame, encoder, text: str = "text", key: str = "id", pr
 
     once = rows.groupBy("_h").agg(F.any_value("_t").alias("_t"))
     return rows.select(key, "_h").join(once.mapInPandas(run, "_h string, v array<double>"), "_h").select(key, "v")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the session's checkpoint folder, which all executors share.
+
+    The cluster names the folder in spark.checkpoint.dir; only where that is unset a temporary one is taken.
+    """
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="kinvec-"))
+    path = f"{sc._jsc.sc().getCheckpointDir().get()}/stored/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
