@@ -264,7 +264,16 @@ def matched_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+def condition_sql(dims: int, channel: str) -> str:
+    """The vectors e of one condition."""
+    raw = E_SQL.replace("CAST(z AS DOUBLE)) AS v", f"CAST(z AS DOUBLE))[1:{dims}] AS v")
+    return raw if channel == "raw" else CENTERED_SQL.replace("CAST(z AS DOUBLE)) AS v", f"CAST(z AS DOUBLE))[1:{dims}] AS v")
+
+
+CONDITIONS_SQL = " UNION ALL ".join(f"SELECT CAST({d} AS INTEGER) AS model, '{c}' AS channel, * FROM ({forward_sql(condition_sql(d, c))} SELECT * FROM f)" for d, c in CONDITIONS)
+
+
+@query(f"SELECT model, channel, count(*) AS n, {metrics_sql('offset')} FROM ({CONDITIONS_SQL}) GROUP BY ROLLUP (model, channel)")
 def conditions_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All four conditions and their roll-up over models and channels in one job."""
     parts = [forward(spark, sf_dir, condition_vectors(spark, sf_dir, d, c)).withColumns({"model": F.lit(d), "channel": F.lit(c)}) for d, c in CONDITIONS]

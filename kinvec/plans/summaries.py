@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import cosine, dot, group_sum, unit
 from ..sources.testdata import edges, entities, s_map, table
 from .common import CONDITIONS, E_SQL, EDGES_SQL, condition_vectors, cos_sql, query, r6
-from .retrieval import CENTERED_SQL, forward, forward_sql
+from .retrieval import CENTERED_SQL, CONDITIONS_SQL, forward, forward_sql
 
 RAW_AND_CENTERED = f"r AS ({forward_sql()} SELECT edge_id, family, baseline_rank - offset_rank AS gain FROM f), c AS ({forward_sql(CENTERED_SQL)} SELECT edge_id, family, baseline_rank - offset_rank AS gain FROM f)"
 
@@ -41,7 +41,10 @@ def gain_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.groupBy("channel").agg(F.count("*").alias("n"), r6(F.avg("gain"), "mean"), r6(F.median("gain"), "median"), r6(F.stddev_samp("gain"), "sd"), F.min("gain").alias("least"), F.max("gain").alias("most"), F.count_if(F.col("gain") > 0).alias("improved"))
 
 
-@query()
+@query(
+    f"WITH h AS (SELECT model, channel, edge_id, CASE WHEN offset_rank <= 10 THEN 1.0 ELSE 0.0 END AS hit FROM ({CONDITIONS_SQL})) "
+    "SELECT a.model, a.channel AS channel_a, b.channel AS channel_b, count(*) AS n, round(avg(a.hit), 6) AS recall_a, round(avg(b.hit), 6) AS recall_b FROM h a JOIN h b ON a.model = b.model AND a.edge_id = b.edge_id AND a.channel < b.channel GROUP BY 1, 2, 3"
+)
 def condition_pair_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each model and pair of channels: recall at 10 of both, on the edges that both can rank."""
     parts = None
