@@ -47,17 +47,20 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.empty((0, 0))
 
 
-def exact_ranks(queries: DataFrame, candidates: DataFrame, block_bytes: int = BLOCK_BYTES, strict: bool = False) -> DataFrame:
+def exact_ranks(queries: DataFrame, candidates: DataFrame, block_bytes: int = BLOCK_BYTES, strict: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """qid, target, rank, n_candidates, score, best_id of queries(qid, q, target, t, exclude[, grp]).
 
     t is the target's vector. rank = 1 + candidates with a greater score + those with an equal score and
     a smaller id; the candidate `exclude` (may be NULL) takes no part. With a grp column on both sides
-    only candidates of the query's group count; strict leaves equal scores out. Ranks are counted, never
-    sorted.
+    only candidates of the query's group count; strict leaves equal scores out; columns of queries in keep
+    come along. Ranks are counted, never sorted.
     """
     grouped = "grp" in queries.columns
-    queries = queries.select("qid", "q", F.col("target").cast("long").alias("target"), "t", F.coalesce(F.col("exclude").cast("long"), F.lit(-1)).alias("exclude"), *(["grp"] if grouped else []))
-    out = "qid long, target long, above long, n long, score double, best double, best_id long"
+    kinds = dict(queries.dtypes)
+    queries = queries.select("qid", "q", F.col("target").cast("long").alias("target"), "t", F.coalesce(F.col("exclude").cast("long"), F.lit(-1)).alias("exclude"), *(["grp"] if grouped else []), *keep)
+    kept = "".join(f", {c} {kinds[c]}" for c in keep)
+    out = f"qid long, target long, above long, n long, score double, best double, best_id long{kept}"
+    names = ["qid", "target", "above", "n", "score", "best", "best_id", *keep]
     parts = []
     for block in _blocks(candidates, block_bytes):
         shared = queries.sparkSession.sparkContext.broadcast(block)
@@ -81,16 +84,16 @@ def exact_ranks(queries: DataFrame, candidates: DataFrame, block_bytes: int = BL
                     above += ((s == own[:, None]) & (ids[None, :] < target[:, None])).sum(axis=1)
                 best = s.max(axis=1)
                 best_id = np.where(s == best[:, None], ids[None, :], np.iinfo(np.int64).max).min(axis=1)
-                columns = (b.column(0), target, above, use.sum(axis=1), own, best, best_id)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["qid", "target", "above", "n", "score", "best", "best_id"])
+                columns = (b.column(0), target, above, use.sum(axis=1), own, best, best_id, *[b.column(5 + grouped + i) for i in range(len(keep))])
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=names)
 
         parts.append(queries.mapInArrow(run, out))
     if not parts:
-        return queries.sparkSession.createDataFrame([], "qid long, target long, rank long, n_candidates long, score double, best_id long")
+        return queries.sparkSession.createDataFrame([], f"qid long, target long, rank long, n_candidates long, score double, best_id long{kept}")
     if len(parts) == 1:
-        return parts[0].select("qid", "target", (F.col("above") + 1).alias("rank"), F.col("n").alias("n_candidates"), "score", "best_id")
-    every = reduce(DataFrame.unionByName, parts).groupBy("qid", "target").agg(F.sum("above").alias("above"), F.sum("n").alias("n"), F.first("score").alias("score"), F.max(F.struct("best", (-F.col("best_id")).alias("m"))).alias("b"))
-    return every.select("qid", "target", (F.col("above") + 1).alias("rank"), F.col("n").alias("n_candidates"), "score", (-F.col("b.m")).alias("best_id"))
+        return parts[0].select("qid", "target", (F.col("above") + 1).alias("rank"), F.col("n").alias("n_candidates"), "score", "best_id", *keep)
+    every = reduce(DataFrame.unionByName, parts).groupBy("qid", "target", *keep).agg(F.sum("above").alias("above"), F.sum("n").alias("n"), F.first("score").alias("score"), F.max(F.struct("best", (-F.col("best_id")).alias("m"))).alias("b"))
+    return every.select("qid", "target", (F.col("above") + 1).alias("rank"), F.col("n").alias("n_candidates"), "score", (-F.col("b.m")).alias("best_id"), *keep)
 
 
 def nearest(queries: DataFrame, candidates: DataFrame, k: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:

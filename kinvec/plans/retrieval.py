@@ -47,9 +47,15 @@ def held_out_rows(spark: SparkSession, sf_dir: str, vectors: DataFrame, relation
 def forward(spark: SparkSession, sf_dir: str, vectors: DataFrame, relation: str = "relation", group: str = "family") -> DataFrame:
     """edge_id, n_other, n_candidates, baseline and offset ranks and best ids of the held-out edges."""
     rows = held_out_rows(spark, sf_dir, vectors, relation, group)
-    base = exact_ranks(_ask(rows, F.col("p")), vectors).select(F.col("qid").alias("edge_id"), F.col("rank").alias("baseline_rank"), F.col("best_id").alias("baseline_id"))
-    moved = exact_ranks(_ask(rows, add("p", "proto")), vectors).select(F.col("qid").alias("edge_id"), "n_candidates", F.col("rank").alias("offset_rank"), F.col("best_id").alias("offset_id"))
-    return rows.select("edge_id", "relation", "relation_fine", "family", "n_other").join(base, "edge_id").join(moved, "edge_id")
+    sides = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("p").alias("q")), F.struct(F.lit(1).alias("side"), add("p", "proto").alias("q"))))
+    keep = ("edge_id", "relation", "relation_fine", "family", "n_other")
+    # Both queries of an edge are ranked in one pass over the candidates, and nothing is joined back.
+    asked = rows.select(*keep, F.col("derived").alias("target"), F.col("c").alias("t"), F.col("anchor").alias("exclude"), sides.alias("x")).select(F.col("edge_id").alias("qid"), "*", "x.side", "x.q")
+    found = exact_ranks(asked, vectors, keep=(*keep, "side"))
+    of = lambda c, side: F.max(F.when(F.col("side") == side, F.col(c)))
+    return found.groupBy(*keep).agg(
+        of("rank", 0).alias("baseline_rank"), of("best_id", 0).alias("baseline_id"), F.max("n_candidates").alias("n_candidates"), of("rank", 1).alias("offset_rank"), of("best_id", 1).alias("offset_id")
+    )
 
 
 def summary(groups: list[str], ranks: DataFrame) -> DataFrame:
