@@ -157,3 +157,43 @@ def shuffled_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     edge = longer * (size + 1)
     fold = F.when(pos < edge, F.floor(pos / (size + 1)) + 1).otherwise(F.floor((pos - edge) / F.greatest(size, F.lit(1))) + longer + 1)
     return hash_positions(ids, "fold").withColumn("fold", fold.cast("long")).groupBy("fold").agg(F.count("*").alias("n"), F.sum("id").alias("id_sum"))
+
+
+def _recurrence(observed: DataFrame, null: DataFrame) -> DataFrame:
+    return null.join(observed, "relation").groupBy("relation").agg(F.first("o").alias("observed"), F.avg("mean_cosine").alias("null_mean"), F.count("*").alias("reps"))
+
+
+@query(
+    f"WITH {E_SQL}, {EDGES_SQL}, {OFF_SQL}, m AS ({vec_mean_sql('d', 'relation, family', 'delta')}), reps AS (SELECT unnest(generate_series(0, 4)) AS rep), lab AS (SELECT relation, row_number() OVER (ORDER BY relation, family) AS pos FROM m), "
+    "sh AS (SELECT rep, m, row_number() OVER (PARTITION BY rep ORDER BY md5('groups|' || rep || '|' || relation || '|' || family), relation, family) AS pos FROM m, reps), g2 AS (SELECT rep, lab.relation, pos, m FROM sh JOIN lab USING (pos)), "
+    f"o AS (SELECT a.relation, avg({cos_sql('a.m', 'b.m')}) AS c FROM m a JOIN m b ON a.relation = b.relation AND a.family <> b.family GROUP BY 1), s AS (SELECT a.rep, a.relation, avg({cos_sql('a.m', 'b.m')}) AS c FROM g2 a JOIN g2 b ON a.rep = b.rep AND a.relation = b.relation AND a.pos <> b.pos GROUP BY 1, 2), "
+    "r AS (SELECT relation, any_value(o.c) - avg(s.c) AS gain FROM o JOIN s USING (relation) GROUP BY 1) SELECT relation, round(gain, 6) AS gain, rank() OVER (ORDER BY round(gain, 10) DESC) AS rank, gain > 0 AS positive FROM r"
+)
+def recurrence_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relations by how far their families agree beyond random groups of the same sizes."""
+    m = group_mean(offsets(edges(spark, sf_dir), entities(spark, sf_dir)), ["relation", "family"], "delta", "v")
+    observed = coherence(m, ["relation"]).select("relation", F.col("mean_cosine").alias("o"))
+    # One order of the family means for each repetition, cut at the cumulative sizes of the classes.
+    size = m.groupBy("relation").agg(F.count("*").alias("c"))
+    cut = size.select("relation", "c", F.coalesce(F.sum("c").over(Window.orderBy("relation").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    places = cut.select("relation", F.explode(F.sequence(F.col("before") + 1, F.col("before") + F.col("c"))).alias("pos"))
+    drawn = m.crossJoin(spark.range(5).withColumnRenamed("id", "rep")).withColumn("h", hashed("groups", F.col("rep"), F.col("relation"), F.col("family")))
+    drawn = drawn.withColumn("pos", F.row_number().over(Window.partitionBy("rep").orderBy("h", "relation", "family")).cast("long")).select("rep", "pos", "v")
+    gain = _recurrence(observed, coherence(drawn.join(places, "pos"), ["rep", "relation"])).select("relation", (F.col("observed") - F.col("null_mean")).alias("gain"))
+    # As many rows as relation classes.
+    return gain.select("relation", r6(F.col("gain"), "gain"), F.rank().over(Window.orderBy(F.round("gain", 10).desc())).cast("long").alias("rank"), (F.col("gain") > 0).alias("positive"))
+
+
+@query("SELECT lang, count(*) AS n, count(*) FILTER (WHERE doc_id % 17 = 0) AS changed FROM documents GROUP BY lang")
+def source_hash_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose text no longer has the hash that was saved with it (every 17th is changed here)."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.sha2("text", 256).alias("saved"), F.when(F.col("doc_id") % 17 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")).alias("text"))
+    return d.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.sha2("text", 256) != F.col("saved")).alias("changed"))
+
+
+@query("SELECT CAST(a.dims AS INTEGER) AS model_a, CAST(b.dims AS INTEGER) AS model_b, CAST(k AS INTEGER) AS dims FROM (VALUES (64), (32)) a(dims) JOIN (VALUES (64), (32)) b(dims) ON a.dims > b.dims JOIN (SELECT unnest([2, 4, 8, 16, 32, 64]) AS k) ON k <= least(a.dims, b.dims)")
+def dimension_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of models and the dimensions that both have."""
+    models = spark.createDataFrame([(64,), (32,)], "dims int")
+    pairs = models.select(F.col("dims").alias("model_a")).join(models.select(F.col("dims").alias("model_b")), F.col("model_a") > F.col("model_b"))
+    return pairs.select("model_a", "model_b", F.explode(F.array(*map(F.lit, (2, 4, 8, 16, 32, 64)))).alias("dims")).where(F.col("dims") <= F.least("model_a", "model_b"))
