@@ -156,8 +156,7 @@ def repeated_windows(raw: list[bytes], counts: list[int]) -> list[np.ndarray]:
         left[: len(flat) - i] &= inside[i:]
         left[len(flat) - i :] = False
         packed = (packed << np.uint64(9)) | np.where(left, symbol, np.uint64(0))
-    _, rank = np.unique(packed, return_inverse=True)
-    rank = _within(rank.astype(np.uint64) + np.uint64(1), begin, 7, int(size.max(initial=0)))
+    rank = _within(packed, begin, 7)
 
     # Suffix array of the parse, texts ended by 0.
     place = np.arange(len(parse)) + text
@@ -183,18 +182,28 @@ def repeated_windows(raw: list[bytes], counts: list[int]) -> list[np.ndarray]:
     return np.split(flag, np.cumsum(counts_)[:-1])
 
 
-def _within(rank: np.ndarray, begin: np.ndarray, covered: int, upto: int) -> np.ndarray:
-    """Prefix doubling that stops at the end of each phrase."""
+def _within(packed: np.ndarray, begin: np.ndarray, covered: int) -> np.ndarray:
+    """Ranks of the suffixes of phrases by prefix doubling, from their first symbols packed in numbers.
+
+    A rank is one more than the number of smaller suffixes. Only suffixes that still tie with others, and
+    have not ended, are sorted again; equal suffixes keep one rank.
+    """
     limit = np.repeat(begin[1:] - 1, np.diff(begin))
-    position, classes = np.arange(len(rank)), 0
-    while covered < upto:
-        ahead = position + covered
-        follow = np.where(ahead < limit, rank[np.minimum(ahead, len(rank) - 1)], np.uint64(0))
-        key, got = np.unique((rank << np.uint64(32)) | follow, return_inverse=True)
-        rank = got.astype(np.uint64) + np.uint64(1)
-        if len(key) == classes:
-            break
-        classes = len(key)
+    _, group, count = np.unique(packed, return_inverse=True, return_counts=True)
+    rank = (np.cumsum(count) - count + 1)[group].astype(np.uint64)
+    open_ = np.flatnonzero(count[group] > 1)
+    while len(open_):
+        ahead = open_ + covered
+        more = ahead < limit[open_]
+        old = rank[open_]
+        follow = np.where(more, rank[np.minimum(ahead, len(rank) - 1)], np.uint64(0))
+        key, group, count = np.unique((old << np.uint64(32)) | follow, return_inverse=True, return_counts=True)
+        owner = key >> np.uint64(32)
+        before = np.cumsum(count) - count
+        first = np.concatenate([[True], owner[1:] != owner[:-1]])
+        offset = before - before[np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))]
+        rank[open_] = old + offset[group].astype(np.uint64)
+        open_ = open_[(count[group] > 1) & more]
         covered *= 2
     return rank
 
