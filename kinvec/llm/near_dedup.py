@@ -32,7 +32,7 @@ BUCKETS = 1 << 18
 #: The rarest shingle weighs 1 + SPREAD times the commonest, so that a passage that very many texts
 #: share weighs less but edits of much-copied texts do not outweigh what the copies have in common.
 SPREAD = 0.25
-#: Texts of a bucket beyond which its pairs must meet in a second band too (which 99.8 % at 0.8 do).
+#: Texts of a bucket beyond which it is split into blocks of so many, compared block against block.
 CROWDED = 2_000
 
 _hashes = Hashes()
@@ -121,9 +121,11 @@ def may_reach(threshold: float, a: str, b: str):
 
     At similarity J the weights outside the intersection sum to (1 - J) / (1 + J) of both totals. Each
     differing bit takes a shingle that only one of the texts has, and that weighs their least at least.
+    The lesser total is at least J times the greater.
     """
+    totals = F.least(f"{a}.total", f"{b}.total") >= threshold * (1 - 1e-6) * F.greatest(f"{a}.total", f"{b}.total")
     differing = F.aggregate(F.zip_with(f"{a}.bits", f"{b}.bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    return differing * F.least(f"{a}.least", f"{b}.least") <= (1 - threshold) / (1 + threshold) * (F.col(f"{a}.total") + F.col(f"{b}.total")) + 1e-6
+    return totals & (differing * F.least(f"{a}.least", f"{b}.least") <= (1 - threshold) / (1 + threshold) * (F.col(f"{a}.total") + F.col(f"{b}.total")) + 1e-6)
 
 
 def sketches(docs: DataFrame, idf: np.ndarray) -> DataFrame:
@@ -210,6 +212,25 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("v", "class")
 
 
+def blocks(banded: DataFrame, size: int) -> DataFrame:
+    """side, key, block, doc_id, class, own: the pairs of a bucket that are not of one class, in blocks.
+
+    Of banded(key, n, doc_id, class). own says that a text is outside the commonest class of its bucket.
+    Side 0 has those texts, side 1 all of the bucket; each is dealt by hash into blocks of some `size`
+    texts, and copied so that every block of one side meets every block of the other once. A bucket of
+    one class makes no rows.
+    """
+    common = banded.groupBy("key", "class").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "class")).alias("m"))
+    common = durable(common.select("key", F.col("m.class").alias("most"), F.col("m.c").alias("c")))
+    rows = banded.join(common, "key").where("n > c").withColumn("own", F.col("class") != F.col("most"))
+    of_own, of_all = F.ceil((F.col("n") - F.col("c")) / size).cast("int"), F.ceil(F.col("n") / size).cast("int")
+    deal = lambda count, salt: F.pmod(F.xxhash64("doc_id", "key", F.lit(salt)), count).cast("int")
+    upto = lambda count: F.explode(F.sequence(F.lit(0), count - 1))
+    left = rows.where("own").withColumn("i", deal(of_own, 0)).withColumn("j", upto(of_all)).withColumn("side", F.lit(0))
+    right = rows.withColumn("j", deal(of_all, 1)).withColumn("i", upto(of_own)).withColumn("side", F.lit(1))
+    return left.unionByName(right).select("side", "key", (F.col("i") * of_all + F.col("j")).cast("long").alias("block"), "doc_id", "class", "own")
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, limit: int = BROADCAST_LONGS, crowded: int = CROWDED) -> DataFrame:
     """doc_id and class_id, the least doc_id of its class, for each row of docs(doc_id, text).
 
@@ -244,16 +265,16 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, limit: int =
     links = durable(verified(pairs, candidates, idf, threshold))
     classes = components(links)
 
-    # Then the pairs of a bucket that are not in one class yet; those of a very full bucket only where
-    # they meet in another band as well.
+    # Then the pairs of a bucket that are not in one class yet.
     banded = banded.join(classes.select(F.col("v").alias("doc_id"), "class"), "doc_id", "left").withColumn("class", F.coalesce("class", "doc_id"))
-    full = banded.where(F.col("n") > crowded).join(kept.select("doc_id", F.explode(keys).alias("second")), "doc_id").where("second <> key")
-    full = full.select("doc_id", "class", F.xxhash64("key", "second").alias("key"))
-    banded = banded.where(F.col("n") <= crowded).select("doc_id", "class", "key").unionByName(full)
-    banded = durable(banded.join(kept, "doc_id"))
-    a, b = (banded.select("key", F.col("doc_id").alias(x), F.col("s").alias(f"s{x}"), F.col("class").alias(f"c{x}")) for x in "ab")
+    banded = durable(blocks(banded, crowded))
+    sketch = kept.select("doc_id", "s")
+    a, b = (banded.where(F.col("side") == i).drop("side").join(sketch, "doc_id").select("key", "block", F.col("doc_id").alias(x), F.col("s").alias(f"s{x}"), F.col("class").alias(f"c{x}"), F.col("own").alias(f"own{x}")) for i, x in enumerate("ab"))
     agree = F.size(F.filter(F.zip_with("sa.samples", "sb.samples", lambda x, y: x == y), lambda x: x))
-    rest = a.join(b, (a.key == b.key) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (agree >= AGREE) & may_reach(threshold, "sa", "sb")).select("a", "b").distinct()
+    # Two texts that are both outside the commonest class meet in both orders: one is enough.
+    once = (F.col("a") < F.col("b")) | ~F.col("ownb")
+    rest = a.join(b, (a.key == b.key) & (a.block == b.block) & (F.col("ca") != F.col("cb")) & once & may_reach(threshold, "sa", "sb") & (agree >= AGREE))
+    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     rest = durable(rest.join(pairs, ["a", "b"], "left_anti"))
     links = links.unionByName(durable(verified(rest, candidates, idf, threshold)))
     classes = components(links)

@@ -51,6 +51,21 @@ def test_classes_equal_all_pairs(spark, seed, how):
     assert got == brute(spark, rows)
 
 
+def test_crowded_buckets_lose_no_pair(spark):
+    """Pairs of near texts in groups that share a passage, so few of them have a pivot near."""
+    rnd = random.Random(5)
+    new = lambda n: [f"v{rnd.randrange(10**9)}" for _ in range(n)]
+    rows = []
+    for _ in range(10):
+        passage = new(100)
+        for _ in range(6):
+            pair = new(30)
+            rows += [" ".join(passage + pair + new(40)) for _ in "ab"]
+    docs = frame(spark, list(enumerate(rows)))
+    small, large = ({r.doc_id: r.class_id for r in nd.near_duplicates(docs, 0.55, crowded=n).collect()} for n in (2, 10**6))
+    assert small == large and len(set(large.values())) < len(rows)
+
+
 def test_samples_agree_as_similarity_says():
     rnd = np.random.default_rng(0)
     h = np.sort(rnd.integers(0, 2**63, 1200, dtype=np.uint64))
