@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 
 from .common import durable, read
 
-#: Longest host suffix, in labels, and path prefix, in segments, that a list entry can name.
-LABELS, SEGMENTS = 4, 2
 #: Copies of the intervals, and parts of the captures, under each pattern: a host with a third of all
 #: captures is spread over so many tasks.
 SALTS = 16
@@ -29,50 +27,71 @@ def normalised(url: str = "url") -> tuple[Column, Column]:
     return F.when(host != "", host).alias("host"), F.when(host != "", path).alias("path")
 
 
+def segments(path) -> Column:
+    return F.filter(F.split(path, "/"), lambda x: x != "")
+
+
+def patterns(pattern: str = "pattern") -> Column:
+    """A pattern in the form of hosts and paths: lower case, no scheme, port, leading www., query or empty segment."""
+    p = F.lower(F.trim(F.col(pattern).cast("string")))
+    p = F.regexp_replace(p, r"^https?://", "")
+    host = F.regexp_extract(p, r"^(?:[^/?#@]*@)?([^/?#:]*)", 1)
+    host = F.regexp_replace(F.regexp_replace(host, r"\.+$", ""), r"^www\.", "")
+    path = segments(F.regexp_extract(p, r"^[^/?#]*([^?#]*)", 1))
+    return F.when(host != "", F.concat_ws("/", F.array(host), path)).otherwise("")
+
+
 def intervals(entries: DataFrame) -> DataFrame:
     """pattern, action, since, until of entries(pattern, action, listed_at).
 
-    Patterns are host suffixes with an optional path prefix, `example.org` or `example.org/a/b`. An
-    entry is in force from listed_at to the next entry of its pattern, exclusive. Of entries of one
+    Patterns are host suffixes with an optional path prefix, `example.org` or `example.org/a/b`, of any
+    length; they are normalised as URLs are. An entry is in force from listed_at to the next entry of its pattern, exclusive. Of entries of one
     pattern and time, block wins. An action other than allow or block ends what was in force.
     """
-    e = entries.select(F.lower(F.trim("pattern")).alias("pattern"), F.lower(F.trim("action")).alias("action"), F.col("listed_at").cast("timestamp").alias("since"))
+    e = entries.select(patterns().alias("pattern"), F.lower(F.trim("action")).alias("action"), F.col("listed_at").cast("timestamp").alias("since"))
     e = e.where("pattern <> '' AND since IS NOT NULL")
     e = e.groupBy("pattern", "since").agg(F.max(F.struct((F.col("action") == "block").alias("b"), "action")).alias("m")).select("pattern", "since", F.col("m.action").alias("action"))
     following = Window.partitionBy("pattern").orderBy("since")
     return e.withColumn("until", F.lead("since").over(following)).where(F.col("action").isin(*ACTIONS)).select("pattern", "action", "since", "until")
 
 
-def _candidates(host: str, path: str) -> Column:
-    """The patterns that could match, most specific first: longer hosts, then longer paths."""
-    labels = F.split(F.col(host), r"\.")
-    hosts = [F.when(F.size(labels) >= n, F.array_join(F.slice(labels, -n, n), ".")) for n in range(LABELS, 0, -1)]
-    hosts = [F.when(F.size(labels) > LABELS, F.col(host))] + hosts
-    parts = F.filter(F.split(F.col(path), "/"), lambda x: x != "")
-    ends = [F.when(F.size(parts) >= n, F.concat(F.lit("/"), F.array_join(F.slice(parts, 1, n), "/"))) for n in range(SEGMENTS, 0, -1)] + [F.lit("")]
-    return F.filter(F.array(*[F.lower(F.concat(h, e)) for h in hosts for e in ends]), lambda x: x.isNotNull())
+def _candidates(host: str, path: str, shapes: list[tuple[int, int]]) -> Column:
+    """The patterns that could match, most specific first: longer hosts, then longer paths.
+
+    shapes has the label and segment counts that occur in the list; no other pattern can be met.
+    """
+    labels, parts = F.split(F.col(host), r"\."), segments(F.col(path))
+    made = []
+    for n, m in sorted(shapes, reverse=True):
+        fits = (F.size(labels) >= n) & (F.size(parts) >= m)
+        made.append(F.when(fits, F.lower(F.concat_ws("/", F.array(F.array_join(F.slice(labels, -n, n), ".")), F.slice(parts, 1, m)))))
+    return F.filter(F.array(*made).cast("array<string>"), lambda x: x.isNotNull())
 
 
 def url_verdicts(captures: DataFrame, entries: DataFrame, key: str = "page_id") -> DataFrame:
     """key, host, verdict, pattern, since for each row of captures(key, url, fetched_at).
 
     verdict is allow or block after the most specific entry in force at fetched_at, `unlisted` without
-    one, and `invalid` for a null or non-http URL or a null time. The small patterns of a capture are
-    its rows in the join: at most LABELS + 1 hosts times SEGMENTS + 1 paths, and only those that the
-    list has at any time. Equal rows of captures get equal verdicts.
+    one, and `invalid` for a null or non-http URL or a null time. The patterns of a capture are its rows
+    in the join: its host suffixes and path prefixes of the label and segment counts that the list has.
+    Equal rows of captures get equal verdicts.
     """
     host, path = normalised("url")
     own = captures.select(F.col(key).alias("_key"), host, path, F.col("fetched_at").cast("timestamp").alias("at"))
     listed = durable(intervals(entries))
+    shapes = listed.select(F.size(F.split(F.substring_index("pattern", "/", 1), r"\.")).alias("n"), (F.size(F.split("pattern", "/")) - 1).alias("m")).distinct()
+    shapes = [(r.n, r.m) for r in shapes.collect()]  # one row for each pair of counts
+    longest = max((m for _, m in shapes), default=0)
+    prefix = F.array_join(F.slice(segments(F.col("path")), 1, longest), "/")
     salted = listed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     probes = own.where("host IS NOT NULL AND at IS NOT NULL")
     # Captures of one host, path prefix and time get one answer: they are joined once.
-    asked = probes.select("host", F.array_join(F.slice(F.filter(F.split("path", "/"), lambda x: x != ""), 1, SEGMENTS), "/").alias("path"), "at")
+    asked = probes.select("host", prefix.alias("path"), "at")
     asked = asked.distinct()
-    rows = asked.select("host", "path", "at", F.posexplode(_candidates("host", "path")).alias("rank", "pattern")).withColumn("_salt", F.pmod(F.xxhash64("host", "path", "at"), F.lit(SALTS)).cast("int"))
+    rows = asked.select("host", "path", "at", F.posexplode(_candidates("host", "path", shapes)).alias("rank", "pattern")).withColumn("_salt", F.pmod(F.xxhash64("host", "path", "at"), F.lit(SALTS)).cast("int"))
     met = rows.join(salted, ["pattern", "_salt"]).where((F.col("at") >= F.col("since")) & (F.col("until").isNull() | (F.col("at") < F.col("until"))))
     best = met.groupBy("host", "path", "at").agg(F.min(F.struct("rank", "pattern", "action", "since")).alias("m"))
-    own = own.withColumn("_prefix", F.array_join(F.slice(F.filter(F.split("path", "/"), lambda x: x != ""), 1, SEGMENTS), "/"))
+    own = own.withColumn("_prefix", prefix)
     best = best.select(F.col("host").alias("_h"), F.col("path").alias("_p"), F.col("at").alias("_a"), "m")
     out = own.join(best, (F.col("host") == F.col("_h")) & (F.col("_prefix") == F.col("_p")) & (F.col("at") == F.col("_a")), "left")
     verdict = F.when(F.col("host").isNull() | F.col("at").isNull(), "invalid").otherwise(F.coalesce("m.action", F.lit("unlisted")))

@@ -37,3 +37,18 @@ def test_intervals_meet_and_empty_tables(spark):
     assert url_verdicts(none, entries).count() == 0
     one = spark.createDataFrame([(1, "http://a.b", day("2024-01-02"))], none.schema)
     assert [r.verdict for r in url_verdicts(one, entries.limit(0)).collect()] == ["unlisted"]
+
+
+def test_entries_of_any_length_and_form(spark):
+    cases = [
+        ("b.c.d.e.example.org", "http://a.b.c.d.e.example.org/x"), ("b.c.d.e.example.org/p/q/r/s", "http://a.b.c.d.e.example.org/p/q/r/s/t"),
+        ("deep.org/a/b/c", "http://deep.org/a/b/c/d"), ("www.Plain.org", "http://plain.org/x"), ("slash.org/", "http://sub.slash.org"),
+        ("https://www.full.org:80/A//b/?q#f", "http://full.org/a/b"), ("dot.org.", "http://dot.org"),
+    ]
+    wide = ["example.org", "deep.org", "full.org"]
+    time = day("2024-01-01")
+    entries = spark.createDataFrame([(p, "block", time) for p, _ in cases] + [(p, "allow", time) for p in wide], "pattern string, action string, listed_at timestamp")
+    captures = [u for _, u in cases] + ["http://deep.org/a/b", "http://e.example.org", "http://other.org"]
+    captures = spark.createDataFrame([(i, u, time) for i, u in enumerate(captures)], "page_id long, url string, fetched_at timestamp")
+    got = [r.verdict for r in url_verdicts(captures, entries).orderBy("page_id").collect()]
+    assert got == ["block"] * len(cases) + ["allow", "allow", "unlisted"]
