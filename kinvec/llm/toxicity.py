@@ -80,10 +80,11 @@ def vocabulary_of(counts: list[tuple[bytes, int, int]], n: int, toxic: int, grou
 
 
 def encoded(words: set[bytes], vocabulary: dict[bytes, int], groups=IDENTITY_GROUPS) -> tuple[list[int], list[int], list[int]]:
-    """Feature numbers of a text, and those that its counterfactual loses and gains."""
+    """Feature numbers of a text, and those, beginnings among them, that its counterfactual loses and gains."""
     other = counterfactual(words, groups)
     number = lambda ws: sorted(vocabulary[w] for w in ws if w in vocabulary)
-    return number(features(words)), number(words - other), number(other - words)
+    here, there = features(words), features(other)
+    return number(here), number(here - there), number(there - here)
 
 
 def fit(rows: list[tuple[list[int], list[int], list[int]]], labels: list[int], m: int, penalty: float = 1.0, l2: float = 2e-2, rounds: int = 400) -> tuple[np.ndarray, float]:

@@ -42,6 +42,26 @@ def test_penalty_equalises_identity_terms():
     assert held < 0.2 * free and a > 1 and b > 1
 
 
+def test_neutral_sentence_scores_as_its_swapped_twin():
+    rows = sentences(600)
+    words, labels = [word_set(t.encode()) for _, t, _ in rows], [y for _, _, y in rows]
+    counts = {}
+    for ws, y in zip(words, labels):
+        for f in features(ws):
+            c = counts.setdefault(f, [0, 0])
+            c[0] += 1
+            c[1] += y
+    vocabulary = vocabulary_of([(f, c, a) for f, (c, a) in counts.items()], len(rows), sum(labels))
+    assert b"^musl" in vocabulary
+
+    def gap(penalty):
+        w, _ = fit([encoded(ws, vocabulary) for ws in words], labels, len(vocabulary), penalty)
+        z = [sum(w[vocabulary[f]] for f in features({b"n1", b"n2", t}) if f in vocabulary) for t in (b"muslims", b"christians")]
+        return abs(z[0] - z[1])
+
+    assert gap(20.0) < 0.2 * gap(0.0)
+
+
 def test_held_out_accuracy_and_contract(spark):
     rows = sentences(800, 1)
     extra = [(900, None, None), (901, "", None), (902, "vileword n1 n2", None), (None, "n1 n2", None)]
