@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinvec.functions import vectors as V
-from kinvec.operators.geometry import average_ranks, canonical_correlations, moments, projected, spectrum
+from kinvec.operators.geometry import average_ranks, canonical_correlations, moments, projected, spectrum, svcca
 from kinvec.operators.prototypes import held_out_prototypes
 from kinvec.operators.retrieval import exact_ranks, nearest, neighbour_overlap, rank_metrics
 
@@ -107,3 +107,21 @@ def test_canonical_correlations_find_shared_signal(clamp):
     x, y = (np.hstack([z + 0.1 * rng.normal(size=z.shape), rng.normal(size=(400, 3))]) @ rng.normal(size=(4, 4)) for _ in range(2))
     r = canonical_correlations(x[:300], y[:300], x[300:], y[300:], 1.0, clamp=clamp)
     assert max(r) > (0.9 if clamp else 0.5)
+
+
+def test_svcca_takes_all_rows(spark):
+    import hashlib
+
+    rnd = np.random.default_rng(3)
+    x = rnd.normal(size=(5600, 4)) * [3, 2, 1, 0.5]
+    y = x @ rnd.normal(size=(4, 4)) + rnd.normal(size=(5600, 4))
+    order = sorted(range(5600), key=lambda i: (hashlib.md5(f"svcca|{i}".encode()).hexdigest(), i))
+    y[order[5000:]] = rnd.normal(size=(600, 4))
+    df = spark.createDataFrame([(i, i % 3, x[i].tolist(), y[i].tolist()) for i in range(5600)], "id long, fold long, x array<double>, y array<double>")
+    got = {(r.keep, r.fold, r.rep): (r.n_components, r.mean_correlation) for r in svcca(df, (0.9, 0.99)).collect()}
+    x, y, fold = x[order], y[order], np.array(order) % 3
+    assert len(got) == 2 * 3 * 3
+    for (keep, held, rep), (n, mean) in got.items():
+        t = fold == held
+        r = canonical_correlations(x[~t], np.roll(y[~t], 37 * rep, axis=0), x[t], y[t], keep)
+        assert n == len(r) and abs(mean - np.mean(r)) < 1e-7
