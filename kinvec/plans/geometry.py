@@ -50,6 +50,17 @@ def similarity_of_representations(spark: SparkSession, sf_dir: str) -> DataFrame
     return both.agg(F.count("*").alias("n_pairs"), r6(F.corr("x", "y"), "pearson"), r6(F.corr("rx", "ry"), "spearman"))
 
 
+@query(
+    f"WITH {E_SQL}, p AS (SELECT round({cos_sql('a.v', 'b.v')}, 10) AS x, round({cos_sql('a.v[1:32]', 'b.v[1:32]')}, 10) AS y FROM e a JOIN e b ON a.id < b.id), "
+    "r AS (SELECT x, y, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry FROM p) "
+    "SELECT count(*) AS n_pairs, round(corr(x, y), 6) AS pearson, round(corr(rx, ry), 6) AS spearman FROM r"
+)
+def exact_similarity_of_representations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pearson and Spearman correlation of pair cosines at 64 and 32 dimensions, over all pairs."""
+    e = entities(spark, sf_dir).select("id", F.col("v").alias("u"), F.slice("v", 1, 32).alias("w"))
+    return G.all_pair_correlations(e).select("n_pairs", r6(F.col("pearson"), "pearson"), r6(F.col("spearman"), "spearman"))
+
+
 @query()
 def canonical_correlation_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cross-validated canonical correlations of the two halves of the dimensions, with a permutation null."""

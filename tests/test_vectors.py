@@ -125,3 +125,20 @@ def test_svcca_takes_all_rows(spark):
         t = fold == held
         r = canonical_correlations(x[~t], np.roll(y[~t], 37 * rep, axis=0), x[t], y[t], keep)
         assert n == len(r) and abs(mean - np.mean(r)) < 1e-7
+
+
+@pytest.mark.parametrize("block", [1 << 20, 400])
+def test_all_pair_correlations_equal_brute_force(spark, block):
+    from kinvec.operators.geometry import all_pair_correlations
+
+    rnd = np.random.default_rng(4)
+    v = rnd.normal(size=(50, 6))
+    v[40:] = v[0]
+    df = spark.createDataFrame([(i, x.tolist(), x[:3].tolist()) for i, x in enumerate(v)], "id long, u array<double>, w array<double>")
+    at = np.triu_indices(50, 1)
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    x, y = (np.round(unit(m) @ unit(m).T, 10)[at] for m in (v, v[:, :3]))
+    rank = lambda a: np.array([(a < b).sum() + ((a == b).sum() + 1) / 2 for b in a])
+    r = all_pair_correlations(df, block).first()
+    assert r.n_pairs == 50 * 49 // 2
+    assert abs(r.pearson - np.corrcoef(x, y)[0, 1]) < 1e-9 and abs(r.spearman - np.corrcoef(rank(x), rank(y))[0, 1]) < 1e-9
