@@ -27,10 +27,13 @@ SAMPLES = BANDS * ROWS
 AGREE = 15
 #: Longs of the bit set of a text's shingles, of which each sets one bit.
 BITS = 64
-#: Document frequencies are kept for so many hash buckets of shingles, so their size is fixed.
+#: A shingle in less than this share of all documents has the weight of a rare one; the frequencies of
+#: the others are exact. There are at most (shingles a document) / COMMON of them, however many documents.
+COMMON = 0.01
+#: Hash buckets whose counts bound the frequencies of their shingles: they tell which need be counted.
 BUCKETS = 1 << 18
-#: The rarest shingle weighs 1 + SPREAD times the commonest, so that a passage that very many texts
-#: share weighs less but edits of much-copied texts do not outweigh what the copies have in common.
+#: A rare shingle weighs 1 + SPREAD times one that all documents have, so that a passage that very many
+#: texts share weighs less but edits of much-copied texts do not outweigh what the copies have in common.
 SPREAD = 0.25
 #: Texts of a bucket beyond which it is split into blocks of so many, compared block against block.
 CROWDED = 2_000
@@ -49,12 +52,27 @@ def bucket_of(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(46)).astype(np.int64)
 
 
-def weights(hashes: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    return (1 + np.log(counts)) * idf[bucket_of(hashes)]
+#: Common shingles (sorted hashes) and their inverse document frequencies.
+Frequencies = tuple[np.ndarray, np.ndarray]
 
 
-def inverse_frequency(docs: DataFrame) -> np.ndarray:
-    """Inverse document frequency of each bucket, over all documents, from 1 to 1 + SPREAD."""
+def weights(hashes: np.ndarray, counts: np.ndarray, idf: Frequencies) -> np.ndarray:
+    common, value = idf
+    out = np.full(len(hashes), 1 + SPREAD)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        known = common[at] == hashes
+        out[known] = value[at[known]]
+    return (1 + np.log(counts)) * out
+
+
+def inverse_frequency(docs: DataFrame, common: float = COMMON) -> Frequencies:
+    """Inverse document frequencies of the shingles that the share `common` of all documents has.
+
+    1 for a shingle of all documents, 1 + SPREAD for one of that share or less: they depend on shares
+    alone, so unrelated documents in proportion change nothing. One pass counts buckets of shingles; a
+    second one counts, exactly, the shingles of buckets that are full enough to hold a common one.
+    """
     bounded_batches(docs.sparkSession)
 
     def count(batches):
@@ -67,12 +85,35 @@ def inverse_frequency(docs: DataFrame) -> np.ndarray:
         if len(at):
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at])], names=["bucket", "n"])
 
-    found = docs.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    df = np.zeros(BUCKETS + 1)
+    text = docs.select("text")
+    found = text.mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    df = np.zeros(BUCKETS + 1, np.int64)
     for r in found.toLocalIterator():  # at most BUCKETS + 1 rows
         df[r.bucket] = r.n
-    n = df[BUCKETS]
-    return 1 + SPREAD * np.log((n + 1) / (df[:BUCKETS] + 1)) / max(np.log(n + 1), 1e-9)
+    n = int(df[BUCKETS])
+    full = df[:BUCKETS] >= max(2, common * n)
+    none = np.empty(0, np.uint64), np.empty(0)
+    if not full.any():
+        return none
+    shared = docs.sparkSession.sparkContext.broadcast(full)
+
+    def start():
+        def batch(texts_):
+            own = [h[shared.value[bucket_of(h)]] for h in (shingles(t)[0] for t in texts_)]
+            h, c = np.unique(np.concatenate(own), return_counts=True)
+            return {"h": h.view(np.int64), "n": c}
+
+        return batch
+
+    counted = map_columns(text, start, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= max(2, common * n))
+    rows = [(r.h, r.n) for r in counted.toLocalIterator()]  # at most shingles a document / common rows
+    if not rows:
+        return none
+    h, c = (np.array(x, np.int64) for x in zip(*rows))
+    h = h.view(np.uint64)
+    order = np.argsort(h)
+    share = np.maximum(c[order] / n, common)
+    return h[order], 1 + SPREAD * np.log(share) / np.log(common)
 
 
 @lru_cache(maxsize=1)
@@ -128,7 +169,7 @@ def may_reach(threshold: float, a: str, b: str):
     return totals & (differing * F.least(f"{a}.least", f"{b}.least") <= (1 - threshold) / (1 + threshold) * (F.col(f"{a}.total") + F.col(f"{b}.total")) + 1e-6)
 
 
-def sketches(docs: DataFrame, idf: np.ndarray) -> DataFrame:
+def sketches(docs: DataFrame, idf: Frequencies) -> DataFrame:
     """doc_id, f1, f2 (hash of the word sequence), samples (empty below five words), bits and total."""
     shared = docs.sparkSession.sparkContext.broadcast(idf)
 
@@ -163,7 +204,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(both / (a[1].sum() + b[1].sum() - both))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, idf: Frequencies, threshold: float) -> DataFrame:
     """The pairs (a, b) whose weighted Jaccard similarity, rounded to nine places, reaches the threshold.
 
     Whole texts of the documents in pairs are joined to them; a task keeps the weighted shingles of the

@@ -66,6 +66,23 @@ def test_crowded_buckets_lose_no_pair(spark):
     assert small == large and len(set(large.values())) < len(rows)
 
 
+def test_frequencies_are_exact_and_do_not_drift(spark):
+    rnd = random.Random(8)
+    common = words(rnd, 40)
+    rows = [(i, " ".join((common if i % 4 == 0 else words(rnd, 5)) + words(rnd, rnd.randrange(60)))) for i in range(120)]
+    more = [(1000 + i, " ".join(f"u{rnd.randrange(10**9)}" for _ in range(50))) for i in range(120)]
+    count = {}
+    for _, t in rows:
+        for h in nd.shingles(t.encode())[0].tolist():
+            count[h] = count.get(h, 0) + 1
+    for part, n in ((rows, 120), (rows + more, 240)):
+        h, value = nd.inverse_frequency(texts(frame(spark, part)), 0.02)
+        expected = {x: max(c / n, 0.02) for x, c in count.items() if c >= max(2, 0.02 * n)}
+        assert dict(zip(h.tolist(), value.tolist())) == pytest.approx({x: 1 + nd.SPREAD * np.log(s) / np.log(0.02) for x, s in expected.items()})
+    rare = np.array([1, 2], np.uint64)
+    assert nd.weights(rare, np.array([1, 1]), (h, value)).tolist() == [1 + nd.SPREAD] * 2
+
+
 def test_samples_agree_as_similarity_says():
     rnd = np.random.default_rng(0)
     h = np.sort(rnd.integers(0, 2**63, 1200, dtype=np.uint64))
@@ -81,7 +98,7 @@ def test_samples_agree_as_similarity_says():
 
 def test_bit_sets_never_exclude_a_link(spark):
     rows = near_corpus(3)
-    idf = np.full(nd.BUCKETS, 1.0)
+    idf = np.empty(0, np.uint64), np.empty(0)
     for i in range(0, len(rows), 3):
         a, b = (nd.shingles((rows[k][1] or "").encode()) for k in (i, i - 1))
         if len(a[0]) and len(b[0]):
