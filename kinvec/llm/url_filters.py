@@ -45,8 +45,8 @@ def intervals(entries: DataFrame) -> DataFrame:
     """pattern, action, since, until of entries(pattern, action, listed_at).
 
     Patterns are host suffixes with an optional path prefix, `example.org` or `example.org/a/b`, of any
-    length; they are normalised as URLs are. An entry is in force from listed_at to the next entry of its pattern, exclusive. Of entries of one
-    pattern and time, block wins. An action other than allow or block ends what was in force.
+    length; they are normalised as URLs are. An entry is in force from listed_at to the next entry of its
+    pattern, exclusive. Of entries of one pattern and time, block wins. An action other than allow or block ends what was in force.
     """
     e = entries.select(patterns().alias("pattern"), F.lower(F.trim("action")).alias("action"), F.col("listed_at").cast("timestamp").alias("since"))
     e = e.where("pattern <> '' AND since IS NOT NULL")
@@ -106,11 +106,13 @@ def dated(pages: DataFrame) -> DataFrame:
 def derived_list(pages: DataFrame) -> DataFrame:
     """A dated list over the hosts of the pages: the test tables bring none.
 
-    A third of the hosts is blocked from some day and cleared or allowed 120 days later; a seventh of
-    the parent domains is blocked from the middle of the year.
+    A third of the hosts is blocked from some day and cleared or allowed 120 days later; three sevenths
+    of the parent domains are blocked from the middle of the year; a fifth of the first path segments
+    of a host are allowed, and a fifth of its paths of two segments blocked, from some day.
     """
-    host, _ = normalised("url")
-    hosts = pages.select(host).where("host IS NOT NULL").distinct()
+    host, path = normalised("url")
+    known = pages.select(host, path).where("host IS NOT NULL")
+    hosts = known.select("host").distinct()
     day = lambda salt: F.pmod(F.conv(F.substring(F.md5(F.concat(F.lit(salt), F.col("host"))), 1, 7), 16, 10).cast("long"), F.lit(210)).cast("int")
     start = F.to_timestamp(F.lit("2024-01-01 00:00:00"))
     chosen = hosts.where(F.pmod(F.conv(F.substring(F.md5("host"), 1, 7), 16, 10).cast("long"), F.lit(3)) == 0)
@@ -118,7 +120,10 @@ def derived_list(pages: DataFrame) -> DataFrame:
     later = chosen.select(F.col("host").alias("pattern"), F.when(F.pmod(day("b"), F.lit(2)) == 0, "allow").otherwise("clear").alias("action"), (start + F.make_dt_interval(day("a") + 120)).alias("listed_at"))
     parents = hosts.select(F.array_join(F.slice(F.split("host", r"\."), -2, 2), ".").alias("host")).distinct().where(F.pmod(F.conv(F.substring(F.md5("host"), 1, 7), 16, 10).cast("long"), F.lit(7)) < 3)
     wide = parents.select(F.col("host").alias("pattern"), F.lit("block").alias("action"), (start + F.make_dt_interval(F.lit(182))).alias("listed_at"))
-    return first.unionByName(later).unionByName(wide)
+    folders = known.select("host", segments(F.lower("path")).alias("s")).select("host", F.explode(F.array(F.struct(F.lit(1).alias("n"), F.lit("allow").alias("action")), F.struct(F.lit(2).alias("n"), F.lit("block").alias("action")))).alias("x"), "s").where("size(s) >= x.n")
+    folders = folders.select(F.concat_ws("/", F.array("host"), F.slice("s", 1, F.col("x.n"))).alias("host"), "x.action").distinct().where(F.pmod(F.conv(F.substring(F.md5("host"), 1, 7), 16, 10).cast("long"), F.lit(5)) == 0)
+    deep = folders.select(F.col("host").alias("pattern"), "action", (start + F.make_dt_interval(day("c"))).alias("listed_at"))
+    return first.unionByName(later).unionByName(wide).unionByName(deep)
 
 
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,13 +139,18 @@ WITH p AS (SELECT page_id, TIMESTAMP '2024-01-01' + to_days(CAST(page_id % 366 A
 h AS (SELECT DISTINCT host FROM p WHERE host IS NOT NULL),
 c AS (SELECT host, CAST(('0x' || substr(md5('a' || host), 1, 7)) AS BIGINT) % 210 AS a, CAST(('0x' || substr(md5('b' || host), 1, 7)) AS BIGINT) % 210 AS b
       FROM h WHERE CAST(('0x' || substr(md5(host), 1, 7)) AS BIGINT) % 3 = 0),
+f AS (SELECT DISTINCT host || '/' || array_to_string(s[1:n], '/') AS folder, action FROM (SELECT host, list_filter(string_split(lower(path), '/'), lambda x: x <> '') AS s FROM p WHERE host IS NOT NULL), (VALUES (1, 'allow'), (2, 'block')) t(n, action) WHERE len(s) >= n),
 par AS (SELECT DISTINCT array_to_string(string_split(host, '.')[-2:], '.') AS host FROM h),
 e AS (SELECT host AS pattern, 'block' AS action, TIMESTAMP '2024-01-01' + to_days(CAST(a AS INTEGER)) AS since FROM c
       UNION ALL SELECT host, CASE WHEN b % 2 = 0 THEN 'allow' ELSE 'clear' END, TIMESTAMP '2024-01-01' + to_days(CAST(a + 120 AS INTEGER)) FROM c
-      UNION ALL SELECT host, 'block', TIMESTAMP '2024-01-01' + to_days(182) FROM par WHERE CAST(('0x' || substr(md5(host), 1, 7)) AS BIGINT) % 7 < 3),
+      UNION ALL SELECT host, 'block', TIMESTAMP '2024-01-01' + to_days(182) FROM par WHERE CAST(('0x' || substr(md5(host), 1, 7)) AS BIGINT) % 7 < 3
+      UNION ALL SELECT folder, action, TIMESTAMP '2024-01-01' + to_days(CAST(CAST(('0x' || substr(md5('c' || folder), 1, 7)) AS BIGINT) % 210 AS INTEGER)) FROM f WHERE CAST(('0x' || substr(md5(folder), 1, 7)) AS BIGINT) % 5 = 0),
 i AS (SELECT pattern, action, since, lead(since) OVER (PARTITION BY pattern ORDER BY since) AS until FROM e),
-m AS (SELECT page_id, pattern, action, since, row_number() OVER (PARTITION BY page_id ORDER BY length(pattern) DESC) AS k
-      FROM p JOIN i ON (host = pattern OR ends_with(host, '.' || pattern)) AND seen >= since AND (until IS NULL OR seen < until) AND action IN ('allow', 'block'))
+q AS (SELECT page_id, seen, host, lower(host || '/' || array_to_string(list_filter(string_split(path, '/'), lambda x: x <> ''), '/') || '/') AS whole FROM p WHERE host IS NOT NULL),
+c2 AS (SELECT page_id, seen, pattern, action, since, until FROM q JOIN i ON host = split_part(pattern, '/', 1) AND starts_with(whole, pattern || '/')
+       UNION ALL SELECT page_id, seen, pattern, action, since, until FROM q JOIN i ON ends_with(host, '.' || split_part(pattern, '/', 1)) AND starts_with(substr(whole, length(host) - length(split_part(pattern, '/', 1)) + 1), pattern || '/')),
+m AS (SELECT page_id, pattern, action, since, row_number() OVER (PARTITION BY page_id ORDER BY len(string_split(split_part(pattern, '/', 1), '.')) DESC, len(string_split(pattern, '/')) DESC) AS k
+      FROM c2 WHERE seen >= since AND (until IS NULL OR seen < until) AND action IN ('allow', 'block'))
 SELECT p.page_id, host, CASE WHEN host IS NULL THEN 'invalid' ELSE coalesce(action, 'unlisted') END AS verdict, pattern, strftime(since, '%Y-%m-%d') AS since
 FROM p LEFT JOIN m ON p.page_id = m.page_id AND k = 1
 """
