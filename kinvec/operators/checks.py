@@ -38,10 +38,10 @@ def on_cycles(edges: DataFrame) -> DataFrame:
 
 
 def unit_errors(vectors: DataFrame, v: str = "unit") -> DataFrame:
-    """n, greatest error of the norm, and vectors with NaN or infinity."""
+    """n, greatest error of the norm of finite vectors, how many are off by more than 1e-6, and vectors with NaN or infinity."""
     length = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
     bad = F.exists(v, lambda x: F.isnan(x) | (F.abs(x) == float("inf")))
-    return vectors.agg(F.count("*").alias("n"), F.max(F.abs(length - 1)).alias("norm_error"), F.count_if(bad).alias("non_finite"))
+    return vectors.agg(F.count("*").alias("n"), F.max(F.when(~bad, F.abs(length - 1))).alias("norm_error"), F.count_if(~bad & (F.abs(length - 1) > 1e-6)).alias("off"), F.count_if(bad).alias("non_finite"))
 
 
 def compared(a: DataFrame, b: DataFrame, keys: list[str], tolerance: float = 1e-6) -> DataFrame:

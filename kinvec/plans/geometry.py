@@ -9,7 +9,7 @@ from ..functions.vectors import dot, norm, strict_unit, unit
 from ..operators import geometry as G
 from ..operators.batching import greedy_batches
 from ..operators.checks import compared, edge_violations, on_cycles, unit_errors
-from ..sources.store import fingerprint
+from ..sources.store import fingerprint, stored
 from ..sources.testdata import edges, entities, table
 from .common import E_SQL, EDGES_SQL, condition_vectors, cos_sql, query, r6
 from .nulls import hash_positions, hashed
@@ -69,6 +69,50 @@ def canonical_correlation_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.svcca(e.join(folds, "id").select("id", "fold", F.slice("v", 1, 32).alias("x"), F.slice("v", 33, 32).alias("y")))
 
 
+@query()
+def canonical_correlation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean and deviation over the folds, for the true pairs and for the permuted ones."""
+    folds = canonical_correlation_folds(spark, sf_dir)
+    return folds.groupBy("keep", (F.col("rep") > 0).alias("permuted")).agg(F.count("*").alias("n"), F.avg("mean_correlation").alias("mean"), F.stddev_samp("mean_correlation").alias("sd"))
+
+
+@query(
+    f"WITH {E_SQL}, n AS (SELECT count(*) AS n FROM e), d AS (SELECT slot, CAST('0x' || substr(md5('draw|' || slot || '|a'), 1, 12) AS BIGINT) % n AS a, CAST('0x' || substr(md5('draw|' || slot || '|b'), 1, 12) AS BIGINT) % (n - 1) AS s, n FROM (SELECT unnest(generate_series(0, 9999)) AS slot), n), "
+    f"p AS (SELECT least(a, (a + 1 + s) % n) AS i, greatest(a, (a + 1 + s) % n) AS j FROM d) SELECT count(*) AS n_pairs, count(DISTINCT (i, j)) AS n_distinct, round(avg({cos_sql('x.v', 'y.v')}), 6) AS mean_cosine FROM p JOIN e x ON x.id = i JOIN e y ON y.id = j"
+)
+def repeated_pair_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """10,000 random pairs of different entities, the same pair possibly more than once."""
+    e = entities(spark, sf_dir).select("id", "v")
+    n = e.count()
+    draw = lambda side: F.conv(F.substring(hashed("draw", F.col("id"), F.lit(side)), 1, 12), 16, 10).cast("long")
+    a = F.pmod(draw("a"), F.lit(n))
+    b = F.pmod(a + 1 + F.pmod(draw("b"), F.lit(max(n - 1, 1))), F.lit(n))
+    pairs = spark.range(10_000).select(F.least(a, b).alias("i"), F.greatest(a, b).alias("j"))
+    both = _pair_table(e, pairs, "c")
+    return both.agg(F.count("*").alias("n_pairs"), F.countDistinct("i", "j").alias("n_distinct"), r6(F.avg("c"), "mean_cosine"))
+
+
+#: Models of the matrix: leading dimensions.
+MODELS = (64, 32, 16)
+_MODEL_PAIRS = [(a, b) for a in MODELS for b in MODELS if a > b]
+
+
+@query(
+    f"WITH {E_SQL}, p AS (SELECT " + ", ".join(f"round({cos_sql(f'a.v[1:{d}]', f'b.v[1:{d}]')}, 10) AS c{d}" for d in MODELS) + " FROM e a JOIN e b ON a.id < b.id), "
+    "m AS (" + " UNION ALL ".join(f"SELECT {a} AS a, {b} AS b, round(corr(c{a}, c{b}), 6) AS r FROM p" for a, b in _MODEL_PAIRS) + "), s AS (SELECT a, b, r FROM m UNION ALL SELECT b, a, r FROM m UNION ALL SELECT unnest([64, 32, 16]) AS a, a AS b, 1.0) "
+    "SELECT CAST(a AS INTEGER) AS model, " + ", ".join(f"max(r) FILTER (WHERE b = {d}) AS m{d}" for d in MODELS) + " FROM s GROUP BY 1"
+)
+def similarity_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The symmetric matrix of exact correlations of pair cosines between models, with its diagonal."""
+    e, rows = entities(spark, sf_dir), []
+    for a, b in _MODEL_PAIRS:
+        r = G.all_pair_correlations(e.select("id", F.slice("v", 1, a).alias("u"), F.slice("v", 1, b).alias("w"))).first().pearson
+        rows += [(a, b, r), (b, a, r)]
+    half = spark.createDataFrame(rows + [(d, d, 1.0) for d in MODELS], "model int, other int, r double")
+    wide = half.groupBy("model").pivot("other", list(MODELS)).agg(F.max("r"))
+    return wide.select("model", *[r6(F.col(str(d)), f"m{d}") for d in MODELS])
+
+
 @query()
 def random_projection_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = entities(spark, sf_dir).select("id", "v")
@@ -76,9 +120,20 @@ def random_projection_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("id", norm("v").alias("long")).join(p, "id").agg(F.count("*").alias("n"), r6(F.avg(F.col("short") / F.col("long")), "mean_ratio"), r6(F.corr("short", "long"), "correlation"))
 
 
-@query(f"WITH {E_SQL}, {EDGES_SQL} SELECT count(*) AS n_edges, 0::BIGINT AS blanks, count(*) FILTER (WHERE anchor = derived) AS self_edges, 0::BIGINT AS bad_status, 0::BIGINT AS duplicate_edge_id, (count(*) - count(DISTINCT derived))::BIGINT AS duplicate_derived, count(*) FILTER (WHERE anchor NOT IN (SELECT id FROM e)) AS unknown_anchor, count(*) FILTER (WHERE derived NOT IN (SELECT id FROM e)) AS unknown_derived FROM g")
+@query(
+    "WITH g AS (SELECT CASE WHEN vec_id % 37 = 0 THEN NULL WHEN vec_id % 53 = 1 THEN 26 ELSE vec_id END AS edge_id, CASE WHEN vec_id % 43 = 0 THEN vec_id WHEN vec_id % 47 = 0 THEN 1000000 ELSE vec_id % 25 END AS anchor, CASE WHEN vec_id % 59 = 2 THEN 27 ELSE vec_id END AS derived, CASE WHEN vec_id % 41 = 0 THEN 'old' WHEN vec_id % 61 = 0 THEN NULL ELSE 'ok' END AS status FROM embeddings WHERE vec_id >= 25) "
+    "SELECT count(*) AS n_edges, count(*) FILTER (WHERE edge_id IS NULL) AS blanks, count(*) FILTER (WHERE anchor = derived) AS self_edges, count(*) FILTER (WHERE status IS NULL OR status <> 'ok') AS bad_status, "
+    "(SELECT coalesce(sum(c), 0)::BIGINT FROM (SELECT count(*) AS c FROM g WHERE edge_id IS NOT NULL GROUP BY edge_id HAVING count(*) > 1)) AS duplicate_edge_id, (SELECT coalesce(sum(c), 0)::BIGINT FROM (SELECT count(*) AS c FROM g GROUP BY derived HAVING count(*) > 1)) AS duplicate_derived, "
+    "count(*) FILTER (WHERE anchor NOT IN (SELECT vec_id FROM embeddings)) AS unknown_anchor, count(*) FILTER (WHERE derived NOT IN (SELECT vec_id FROM embeddings)) AS unknown_derived FROM g"
+)
 def edge_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edge_violations(edges(spark, sf_dir), entities(spark, sf_dir))
+    """The counters over edges with planted blanks, repeats, self-edges, statuses and unknown anchors."""
+    k = F.col("derived")
+    g = edges(spark, sf_dir).select(
+        F.when(k % 37 == 0, None).when(k % 53 == 1, 26).otherwise(k).alias("edge_id"), F.when(k % 43 == 0, k).when(k % 47 == 0, 1000000).otherwise(F.col("anchor")).alias("anchor"),
+        F.when(k % 59 == 2, 27).otherwise(k).alias("derived"), F.when(k % 41 == 0, "old").when(k % 61 == 0, None).otherwise("ok").alias("status"),
+    )
+    return edge_violations(g, entities(spark, sf_dir), ("ok",))
 
 
 @query("WITH RECURSIVE p AS (SELECT vec_id AS node, CASE WHEN vec_id IN (7, 8, 9) THEN 7 + (vec_id - 6) % 3 ELSE vec_id // 2 END AS up FROM embeddings WHERE vec_id > 0), w AS (SELECT node, up, 1 AS k FROM p UNION SELECT w.node, p.up, k + 1 FROM w JOIN p ON p.node = w.up WHERE k < 40) SELECT DISTINCT node FROM w WHERE k = 40")
@@ -89,9 +144,12 @@ def cycle_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return on_cycles(e.select(up.alias("anchor"), F.col("vec_id").alias("derived")))
 
 
-@query(f"WITH {E_SQL} SELECT count(*) AS n, true AS unit_norm, 0::BIGINT AS non_finite FROM e")
+@query("SELECT count(*) AS n, round(max(CASE WHEN vec_id % 31 = 0 THEN 0.0 WHEN vec_id % 29 = 0 THEN 0.5 ELSE 0.0 END), 6) AS norm_error, count(*) FILTER (WHERE vec_id % 29 = 0 AND vec_id % 31 <> 0) AS off, count(*) FILTER (WHERE vec_id % 31 = 0) AS non_finite FROM embeddings")
 def cache_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return unit_errors(entities(spark, sf_dir).select(strict_unit("v").alias("unit"))).select("n", (F.col("norm_error") < 1e-9).alias("unit_norm"), "non_finite")
+    """Stored unit vectors, some planted with another length and some with NaN."""
+    scaled = F.transform("u", lambda x: x * F.when(F.col("id") % 31 == 0, float("nan")).when(F.col("id") % 29 == 0, 1.5).otherwise(1.0))
+    units = stored(entities(spark, sf_dir).select("id", strict_unit("v").alias("u")).select("id", scaled.alias("unit")))
+    return unit_errors(units).select("n", r6(F.col("norm_error"), "norm_error"), "off", "non_finite")
 
 
 @query(
@@ -105,9 +163,12 @@ def golden_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compared(o, changed, ["o_orderkey"])
 
 
-@query("SELECT count(*) AS n FROM documents")
+@query(
+    "WITH h AS (SELECT CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '\\N') || chr(31) || coalesce(text, '\\N')), 1, 15) AS BIGINT) AS h FROM documents) "
+    "SELECT count(*) AS n, CAST(sum(CAST(h AS HUGEINT)) AS VARCHAR) AS sum, bit_xor(h) AS xor FROM h"
+)
 def frozen_input(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprint(table(spark, sf_dir, "documents"), ["doc_id", "text"]).select("n")
+    return fingerprint(table(spark, sf_dir, "documents"), ["doc_id", "text"])
 
 
 @query()

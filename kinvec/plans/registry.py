@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import geometry, nulls, retrieval, summaries, texts  # noqa: F401  they register their queries
+from . import contracts, geometry, nulls, retrieval, sensitivity, summaries, texts  # noqa: F401  they register their queries
 from .common import ORACLE_SQL, QUERIES  # noqa: F401
 
 FLAGSHIP = "heldout_forward_retrieval"

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.vectors import cosine, dot, group_sum, unit
+from ..functions.vectors import cosine, dot, group_mean, group_sum, unit
+from ..operators.geometry import average_ranks
 from ..sources.testdata import edges, entities, s_map, table
-from .common import CONDITIONS, E_SQL, EDGES_SQL, condition_vectors, cos_sql, query, r6
+from .common import CONDITIONS, E_SQL, EDGES_SQL, condition_vectors, cos_sql, query, r6, vec_mean_sql
 from .retrieval import CENTERED_SQL, CONDITIONS_SQL, forward, forward_sql
 
 RAW_AND_CENTERED = f"r AS ({forward_sql()} SELECT edge_id, family, baseline_rank - offset_rank AS gain FROM f), c AS ({forward_sql(CENTERED_SQL)} SELECT edge_id, family, baseline_rank - offset_rank AS gain FROM f)"
@@ -21,16 +22,18 @@ def _gains(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"WITH {RAW_AND_CENTERED}, j AS (SELECT family, avg(r.gain) AS a, avg(c.gain) AS b FROM r JOIN c USING (edge_id, family) GROUP BY family) "
     "SELECT count(*) AS families, round(avg(a), 6) AS raw_mean, round(median(a), 6) AS raw_median, round(avg(CASE WHEN a > 0 THEN 1.0 ELSE 0.0 END), 6) AS raw_positive, round(avg(CASE WHEN b > 0 THEN 1.0 ELSE 0.0 END), 6) AS centered_positive, "
-    "round(avg(CASE WHEN a <> 0 AND b <> 0 THEN CASE WHEN sign(a) = sign(b) THEN 1.0 ELSE 0.0 END END), 6) AS sign_agreement, round(corr(a, b), 6) AS pearson FROM j"
+    "round(avg(CASE WHEN a <> 0 AND b <> 0 THEN CASE WHEN sign(a) = sign(b) THEN 1.0 ELSE 0.0 END END), 6) AS sign_agreement, round(corr(a, b), 6) AS pearson, round(corr(ra, rb), 6) AS spearman FROM (SELECT *, rank() OVER (ORDER BY round(a, 10)) + (count(*) OVER (PARTITION BY round(a, 10)) - 1) / 2.0 AS ra, rank() OVER (ORDER BY round(b, 10)) + (count(*) OVER (PARTITION BY round(b, 10)) - 1) / 2.0 AS rb FROM j)"
 )
 def family_effects_raw_against_centered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Family means of the rank gain in both channels, shares of positive ones, agreement of signs."""
     j = _gains(spark, sf_dir).groupBy("family").agg(F.avg("raw_gain").alias("a"), F.avg("centered_gain").alias("b"))
+    j = j.withColumns({"x": F.round("a", 10), "y": F.round("b", 10)})
+    j = average_ranks(average_ranks(j, "x", "rx"), "y", "ry")  # a row for each family
     a, b = F.col("a"), F.col("b")
     share = lambda c: F.avg(c.cast("double"))
     return j.agg(
         F.count("*").alias("families"), r6(F.avg("a"), "raw_mean"), r6(F.median("a"), "raw_median"), r6(share(a > 0), "raw_positive"), r6(share(b > 0), "centered_positive"),
-        r6(F.avg(F.when((a != 0) & (b != 0), (F.signum("a") == F.signum("b")).cast("double"))), "sign_agreement"), r6(F.corr("a", "b"), "pearson"),
+        r6(F.avg(F.when((a != 0) & (b != 0), (F.signum("a") == F.signum("b")).cast("double"))), "sign_agreement"), r6(F.corr("a", "b"), "pearson"), r6(F.corr("rx", "ry"), "spearman"),
     )
 
 
@@ -80,16 +83,30 @@ def channel_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, "label").join(own, "label").select("label", "n", r6(F.col("own") / n, "same_item"), r6((dot("sa", "sb") - F.col("own")) / (n * (n - 1)), "other_items"))
 
 
+_LABELS = range(10)
+
+
 @query(
-    f"WITH {E_SQL}, m AS (SELECT id, v FROM e WHERE id < 8) SELECT a.id, " + ", ".join(f"round(max({cos_sql('a.v', 'b.v')}) FILTER (WHERE b.id = {j}), 6) AS c{j}" for j in range(8)) + " FROM m a JOIN m b ON true GROUP BY 1"
+    f"WITH {E_SQL}, m AS ({vec_mean_sql('e', 'label', 'v')}) SELECT a.label, " + ", ".join(f"round(max(CASE WHEN a.label = b.label THEN 1.0 ELSE {cos_sql('a.m', 'b.m')} END) FILTER (WHERE b.label = {j}), 6) AS c{j}" for j in _LABELS) + " FROM m a JOIN m b ON true GROUP BY 1"
 )
 def labelled_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A symmetric matrix of eight anchors as a table: the upper triangle, mirrored, with its diagonal."""
-    m = entities(spark, sf_dir).where("id < 8").select("id", "v")  # the matrix shown has eight rows
-    half = m.alias("a").join(m.alias("b"), F.col("a.id") < F.col("b.id")).select(F.col("a.id").alias("i"), F.col("b.id").alias("j"), r6(cosine("a.v", "b.v"), "x"))
-    whole = half.unionByName(half.select(F.col("j").alias("i"), F.col("i").alias("j"), "x")).unionByName(m.select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(1.0).alias("x")))
-    out = whole.groupBy(F.col("i").alias("id")).pivot("j", list(range(8))).agg(F.max("x"))
-    return out.select("id", *[F.col(str(j)).alias(f"c{j}") for j in range(8)])
+    """The symmetric matrix of the class means as a table: the upper triangle, mirrored, with its diagonal."""
+    m = group_mean(entities(spark, sf_dir), ["label"], "v", "m")  # a row for each class
+    half = m.alias("a").join(m.alias("b"), F.col("a.label") < F.col("b.label")).select(F.col("a.label").alias("i"), F.col("b.label").alias("j"), r6(cosine("a.m", "b.m"), "x"))
+    whole = half.unionByName(half.select(F.col("j").alias("i"), F.col("i").alias("j"), "x")).unionByName(m.select(F.col("label").alias("i"), F.col("label").alias("j"), F.lit(1.0).alias("x")))
+    out = whole.groupBy(F.col("i").alias("label")).pivot("j", list(_LABELS)).agg(F.max("x"))
+    return out.select("label", *[F.col(str(j)).alias(f"c{j}") for j in _LABELS])
+
+
+@query(
+    f"WITH {E_SQL}, m AS ({vec_mean_sql('e', 'label', 'v')}) SELECT a.label AS left_id, b.label AS right_id, a.label = b.label AS same_item, round({cos_sql('a.m[1:32]', 'b.m[1:32]')}, 6) AS first_cosine, round({cos_sql('a.m[33:64]', 'b.m[33:64]')}, 6) AS second_cosine, round({cos_sql('a.m[1:32]', 'b.m[33:64]')}, 6) AS across_cosine FROM m a, m b"
+)
+def pair_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ordered pairs of the class means, a class with itself included, with the cosines of and across channels."""
+    m = group_mean(entities(spark, sf_dir), ["label"], "v", "m").select("label", F.slice("m", 1, 32).alias("a"), F.slice("m", 33, 32).alias("b"))
+    left, right = (m.select(F.col("label").alias(f"{s}_id"), F.col("a").alias(f"{s}_a"), F.col("b").alias(f"{s}_b")) for s in ("left", "right"))
+    both = left.crossJoin(F.broadcast(right))  # a row for each pair of classes
+    return both.select("left_id", "right_id", (F.col("left_id") == F.col("right_id")).alias("same_item"), r6(cosine("left_a", "right_a"), "first_cosine"), r6(cosine("left_b", "right_b"), "second_cosine"), r6(cosine("left_a", "right_b"), "across_cosine"))
 
 
 @query(

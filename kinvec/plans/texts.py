@@ -26,11 +26,11 @@ def text_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "WITH x(k, s) AS (VALUES (1, '⿰女子'), (2, ' ⿱艹早'), (3, '好'), (4, ''), (5, NULL), (6, '⿻十十')), y(k, layout) AS (VALUES (1, 'left-right'), (2, 'top-bottom'), (3, 'non-IDS'), (4, 'non-IDS'), (5, 'non-IDS'), (6, 'overlaid')) "
+    "WITH x(k, s) AS (VALUES (1, '⿰女子'), (2, ' ⿱艹早'), (3, '好'), (4, ''), (5, NULL), (6, '⿻十十'), (7, chr(9) || '⿴囗玉'), (8, '　⿸广木'), (9, '⿺辶文'), (10, '⿹勹口'), (11, '⿷匚甲'), (12, '⿶凵㐅'), (13, '⿵門口'), (14, '⿲木木木'), (15, '⿳亠口小')), y(k, layout) AS (VALUES (1, 'left-right'), (2, 'top-bottom'), (3, 'non-IDS'), (4, 'non-IDS'), (5, 'non-IDS'), (6, 'overlay'), (7, 'full-surround'), (8, 'surround-upper-left'), (9, 'surround-lower-left'), (10, 'surround-upper-right'), (11, 'surround-from-left'), (12, 'surround-from-below'), (13, 'surround-from-above'), (14, 'left-middle-right'), (15, 'top-middle-bottom')) "
     "SELECT CAST(k AS INTEGER) AS k, layout, regexp_matches(coalesce(s, ''), '[\\x{4e00}-\\x{9fff}]') AS cjk FROM x JOIN y USING (k)"
 )
 def layout_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, "⿰女子"), (2, " ⿱艹早"), (3, "好"), (4, ""), (5, None), (6, "⿻十十")], "k int, s string")
+    rows = spark.createDataFrame([(1, "⿰女子"), (2, " ⿱艹早"), (3, "好"), (4, ""), (5, None), (6, "⿻十十"), (7, "\t⿴囗玉"), (8, "　⿸广木"), (9, "⿺辶文"), (10, "⿹勹口"), (11, "⿷匚甲"), (12, "⿶凵㐅"), (13, "⿵門口"), (14, "⿲木木木"), (15, "⿳亠口小")], "k int, s string")
     return rows.select("k", T.layout("s").alias("layout"), T.has_cjk("s").alias("cjk"))
 
 
@@ -75,14 +75,20 @@ def audited_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").withColumn("k", F.row_number().over(first)).where("k = 1").join(allowed, "doc_id", "left_semi").select("doc_id", "quality", "toxic")
 
 
-@query("SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN d.doc_id IS NULL THEN 'right_only' WHEN l.doc_id IS NULL THEN 'left_only' ELSE 'both' END AS side, coalesce(l.quality, 0) AS quality FROM (SELECT doc_id FROM documents WHERE doc_id % 3 <> 0) d FULL JOIN (SELECT doc_id, quality FROM labels WHERE doc_id % 5 <> 0) l ON d.doc_id = l.doc_id")
+@query("SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN d.doc_id IS NULL THEN 'right_only' WHEN l.doc_id IS NULL THEN 'left_only' ELSE 'both' END AS side, coalesce(l.quality, 0) AS quality FROM documents d FULL JOIN labels l ON d.doc_id = l.doc_id")
 def outer_join_indicator(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("doc_id % 3 <> 0").select("doc_id", F.lit(True).alias("_l"))
-    r = table(spark, sf_dir, "labels").where("doc_id % 5 <> 0").select("doc_id", "quality", F.lit(True).alias("_r"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.lit(True).alias("_l"))
+    r = table(spark, sf_dir, "labels").select("doc_id", "quality", F.lit(True).alias("_r"))
     side = F.when(F.col("_l").isNull(), "right_only").when(F.col("_r").isNull(), "left_only").otherwise("both")
     return d.join(r, "doc_id", "full_outer").select("doc_id", side.alias("side"), F.coalesce("quality", F.lit(0)).alias("quality"))
 
 
+@query("SELECT source, CASE WHEN ends_with(source, '0') THEN left(source, length(source) - 1) ELSE source END AS channel, count(*) AS n FROM documents GROUP BY 1")
+def channel_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names without the suffix that marks a variant."""
+    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n")).select("source", T.without_suffix("source", "0").alias("channel"), "n")
+
+
 @query("WITH s AS (SELECT 7 AS seed, family FROM (VALUES ('a'), ('b'), ('ü')) t(family)) SELECT family, substr(sha256('7|' || family), 1, 16) AS seed_hex, CASE family WHEN 'a' THEN true WHEN 'b' THEN false END AS flag FROM s")
 def derived_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame([("a", " TRUE"), ("b", "false"), ("ü", "yes")], "family string, said string")

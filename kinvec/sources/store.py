@@ -34,9 +34,10 @@ def pending_conditions(expected: DataFrame, done: DataFrame, by: tuple[str, ...]
 
 
 def fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row: rows and an order-free 128-bit checksum of the columns, to freeze an input."""
-    h = F.xxhash64(*columns)
-    return df.agg(F.count("*").alias("n"), F.coalesce(F.sum((h % 1_000_000_007).cast("decimal(38,0)")), F.lit(0)).cast("string").alias("sum"), F.coalesce(F.bit_xor(h), F.lit(0)).alias("xor"))
+    """One row: rows, and the sum and XOR of 60-bit hashes of the columns, to freeze an input in any order."""
+    text = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in columns])
+    h = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+    return df.agg(F.count("*").alias("n"), F.coalesce(F.sum(h.cast("decimal(38,0)")), F.lit(0)).cast("string").alias("sum"), F.coalesce(F.bit_xor(h), F.lit(0)).alias("xor"))
 
 
 def refuse_drift(df: DataFrame, columns: list[str], manifest: dict | None) -> dict:
@@ -91,14 +92,58 @@ def encode_texts(df: DataFrame, encoder, text: str = "text", key: str = "id", pr
     return rows.select(key, "_h").join(once.mapInPandas(run, "_h string, v array<double>"), "_h").select(key, "v")
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the session's checkpoint folder, which all executors share.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, which driver and executors share.
 
-    The cluster names the folder in spark.checkpoint.dir; only where that is unset a temporary one is taken.
+    The cluster names it in spark.checkpoint.dir. Only on one machine, where that is unset, a temporary
+    folder is taken; on a cluster it would scatter tables over local disks, so there it is an error.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="kinvec-"))
-    path = f"{sc._jsc.sc().getCheckpointDir().get()}/stored/{uuid.uuid4().hex}"
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="kinvec-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def translated(df: DataFrame, client, text: str = "text", key: str = "id", batch: int = 25, attempts: int = 5, wait: float = 1.0) -> DataFrame:
+    """key, translation, attempts, error of each row: distinct texts go to an outside service in batches.
+
+    client() is called once a task and returns a function from a list of texts to a list of translations.
+    A batch that fails is tried again after twice the wait each time; when all attempts fail its rows get
+    a null translation and the last error. Blank texts are not sent. No client is shipped.
+    """
+    import time
+
+    import pandas as pd
+
+    rows = df.select(key, F.coalesce(F.col(text), F.lit("")).alias("_t")).withColumn("_h", F.sha2("_t", 256))
+
+    def run(frames):
+        send = client()
+        for frame in frames:
+            for at in range(0, len(frame), batch):
+                part = frame.iloc[at : at + batch]
+                for n in range(1, attempts + 1):
+                    try:
+                        got, error = list(send(part["_t"].tolist())), None
+                        if len(got) != len(part):
+                            raise ValueError(f"{len(got)} translations of {len(part)} texts")
+                        break
+                    except Exception as e:  # the service's own errors are many
+                        got, error = [None] * len(part), str(e)
+                        if n < attempts:
+                            time.sleep(wait * 2 ** (n - 1))
+                yield pd.DataFrame({"_h": part["_h"], "translation": got, "attempts": n, "error": error})
+
+    once = rows.where("trim(_t) <> ''").groupBy("_h").agg(F.any_value("_t").alias("_t"))
+    sent = once.mapInPandas(run, "_h string, translation string, attempts int, error string")
+    return rows.select(key, "_h").join(sent, "_h", "left").select(key, "translation", F.coalesce("attempts", F.lit(0)).alias("attempts"), "error")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder."""
+    path = f"{shared_folder(df.sparkSession)}/stored/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
