@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.store import shared_folder
+
 #: Rows of one Arrow batch. Texts are a few KB on average; a batch stays at a few MB.
 BATCH_ROWS = 256
 
@@ -24,18 +25,6 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's checkpoint folder.
-
-    The cluster names it in spark.checkpoint.dir; only where that is unset (tests, local runs) a
-    temporary folder is taken.
-    """
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="kinvec-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
 def durable(df: DataFrame) -> DataFrame:
     """Cuts the lineage: df as a Parquet table in the shared folder, which outlives any executor."""
     path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
