@@ -5,6 +5,8 @@ Random choices are orders of md5(seed|...), so they are the same on any engine a
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from ..functions.vectors import coherence, cosine, dot, group_mean, norm, subtra
 from ..operators.prototypes import offsets
 from ..sources.testdata import edges, entities, table
 from .common import E_SQL, EDGES_SQL, cos_sql, query, r6, sub_sql, vec_mean_sql
-from .retrieval import OFF_SQL
+from .retrieval import OFF_SQL, held_out_rows, loo_sql
 
 SAMPLES = 20
 
@@ -22,17 +24,29 @@ def hashed(*parts) -> F.Column:
 
 
 def controls(spark: SparkSession, sf_dir: str, samples: int = SAMPLES) -> DataFrame:
-    """family, sample, id: for each family and sample as many entities, none of the family's, without repeats.
+    """family, sample, id, v: for each family and sample as many entities, none of the family's, without repeats.
 
-    A class holds `samples` orders of the entities outside it; the least hashes of an order are kept by a
-    window whose groups are (family, sample).
+    The least hashes of an order are kept. Hashes are streamed, and only those below a bound that twice
+    as many pass as are needed are sorted, without vectors; a group that the bound leaves short is drawn
+    from all of its hashes.
     """
     size = edges(spark, sf_dir).groupBy("family").agg(F.count("*").alias("n"))
-    draws = size.crossJoin(spark.range(samples).withColumnRenamed("id", "sample"))  # families x samples: fixed sizes
     ids = entities(spark, sf_dir).select("id", "v")
+    total = ids.count()
+    share = (2 * F.col("n") + 50) / F.greatest(F.lit(total) - F.col("n"), F.lit(1))
+    bound = F.when(share >= 1, "g").otherwise(F.lpad(F.lower(F.hex(F.floor(share * 2**32).cast("long"))), 8, "0"))
+    draws = size.crossJoin(spark.range(samples).withColumnRenamed("id", "sample")).withColumn("bound", bound)  # families x samples: fixed sizes
+
+    def of(groups: DataFrame) -> DataFrame:
+        return groups.join(ids.select("id"), F.col("id") % 25 != F.col("family")).withColumn("h", hashed("control", F.col("family"), F.col("sample"), F.col("id")))
+
+    near = of(draws).where(F.substring("h", 1, 8) < F.col("bound"))
+    passed = near.groupBy("family", "sample").agg(F.count("*").alias("c"))
+    short = draws.join(passed, ["family", "sample"], "left").where(F.coalesce("c", F.lit(0)) < F.col("n")).drop("c")
+    rows = near.join(short.select("family", "sample"), ["family", "sample"], "left_anti").unionByName(of(short).select(near.columns))
     order = Window.partitionBy("family", "sample").orderBy("h", "id")
-    rows = draws.join(ids, F.col("id") % 25 != F.col("family")).withColumn("h", hashed("control", F.col("family"), F.col("sample"), F.col("id")))
-    return rows.withColumn("k", F.row_number().over(order)).where("k <= n").select("family", "sample", "id", "v")
+    kept = rows.withColumn("k", F.row_number().over(order)).where("k <= n").select("family", "sample", "id")
+    return kept.join(ids, "id").select("family", "sample", "id", "v")
 
 
 CONTROLS_SQL = (
@@ -45,15 +59,19 @@ CONTROLS_SQL = (
     f"WITH {E_SQL}, {EDGES_SQL}, {CONTROLS_SQL}, mine AS (SELECT family, e.id, v FROM g JOIN e ON e.id = g.derived), "
     f"t AS (SELECT a.family, avg({cos_sql('a.v', 'b.v')}) AS c FROM mine a JOIN mine b ON a.family = b.family AND a.id <> b.id GROUP BY 1), "
     f"z AS (SELECT a.family, a.sample, avg({cos_sql('a.v', 'b.v')}) AS c FROM ct a JOIN ct b ON a.family = b.family AND a.sample = b.sample AND a.id <> b.id GROUP BY 1, 2) "
-    "SELECT family, round(any_value(t.c), 6) AS observed, round(avg(z.c), 6) AS null_mean, round(median(z.c), 6) AS null_median, round(stddev_samp(z.c), 6) AS null_sd, count(*) AS n_controls, "
+    "SELECT family, round(any_value(t.c), 6) AS observed, round(avg(z.c), 6) AS null_mean, round(median(z.c), 6) AS null_median, round(stddev_samp(z.c), 6) AS null_sd, round(min(z.c), 6) AS null_min, round(max(z.c), 6) AS null_max, round(any_value(t.c) - avg(z.c), 6) AS delta, round((any_value(t.c) - avg(z.c)) / nullif(stddev_samp(z.c), 0), 6) AS z_score, "
+    "round(100 * (count(*) FILTER (WHERE round(z.c, 10) < round(t.c, 10)) + 0.5 * count(*) FILTER (WHERE round(z.c, 10) = round(t.c, 10))) / count(*), 6) AS percentile, count(*) AS n_controls, "
     "(1 + count(*) FILTER (WHERE round(z.c, 10) >= round(t.c, 10))) / (count(*) + 1) AS p_value FROM t JOIN z USING (family) GROUP BY family"
 )
 def family_coherence_against_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
     mine = coherence(edges(spark, sf_dir).join(entities(spark, sf_dir).select(F.col("id").alias("derived"), "v"), "derived"), ["family"]).select("family", F.col("mean_cosine").alias("t"))
     null = coherence(controls(spark, sf_dir), ["family", "sample"]).join(mine, "family")
-    above = F.count_if(F.round("mean_cosine", 10) >= F.round("t", 10))
+    c, t = F.round("mean_cosine", 10), F.round("t", 10)
+    above, delta, sd = F.count_if(c >= t), F.first("t") - F.avg("mean_cosine"), F.stddev_samp("mean_cosine")
     return null.groupBy("family").agg(
-        r6(F.first("t"), "observed"), r6(F.avg("mean_cosine"), "null_mean"), r6(F.median("mean_cosine"), "null_median"), r6(F.stddev_samp("mean_cosine"), "null_sd"), F.count("*").alias("n_controls"),
+        r6(F.first("t"), "observed"), r6(F.avg("mean_cosine"), "null_mean"), r6(F.median("mean_cosine"), "null_median"), r6(sd, "null_sd"),
+        r6(F.min("mean_cosine"), "null_min"), r6(F.max("mean_cosine"), "null_max"), r6(delta, "delta"), r6(delta / F.nullif(sd, F.lit(0.0)), "z_score"),
+        r6(100 * (F.count_if(c < t) + 0.5 * F.count_if(c == t)) / F.count("*"), "percentile"), F.count("*").alias("n_controls"),
         ((1 + above) / (F.count("*") + 1)).alias("p_value"),
     )
 
@@ -76,30 +94,54 @@ def relation_recurrence_against_permutation(spark: SparkSession, sf_dir: str) ->
     m = group_mean(offsets(edges(spark, sf_dir), entities(spark, sf_dir)), ["relation", "family"], "delta", "v")
     observed = coherence(m, ["relation"]).select("relation", F.col("mean_cosine").alias("o"))
     reps = spark.range(5).withColumnRenamed("id", "rep")
-    # A permutation is one order of the family means; their number is that of (relation, family) groups.
-    placed = m.withColumn("pos", F.row_number().over(Window.orderBy("relation", "family")))
+    # A permutation is one order of the family means; keys alone are ranked, one row for each group.
+    placed = m.select("relation", "family").withColumn("pos", F.row_number().over(Window.orderBy("relation", "family")))
     labels = placed.select("relation", "family").crossJoin(reps).withColumn("h", hashed("permute", F.col("rep"), F.col("relation"), F.col("family")))
     labels = labels.withColumn("pos", F.row_number().over(Window.partitionBy("rep").orderBy("h", "relation", "family"))).select("rep", "relation", "pos")
-    null = coherence(labels.join(placed.select("pos", "v"), "pos"), ["rep", "relation"])
+    means = placed.join(m, ["relation", "family"]).select("pos", "v")
+    null = coherence(labels.join(means, "pos"), ["rep", "relation"])
     return null.join(observed, "relation").groupBy("relation").agg(r6(F.first("o"), "observed"), r6(F.avg("mean_cosine"), "shuffled"), F.count("*").alias("reps"))
 
 
+_KINDS = (("relation", ["relation"]), ("pinyin", ["pinyin"]), ("layout", ["layout"]), ("pinyin+relation", ["pinyin", "relation"]))
+_DRAW_SQL = "CAST('0x' || substr(md5('wrong|' || kind || '|' || edge_id), 1, 12) AS BIGINT)"
+
+
 @query(
-    f"WITH {E_SQL}, {EDGES_SQL}, c AS (SELECT DISTINCT kind, g.edge_id, o.anchor AS wrong FROM g JOIN g o ON o.anchor <> g.anchor, (VALUES ('relation'), ('pinyin'), ('layout'), ('pinyin+relation')) t(kind) "
-    "WHERE CASE kind WHEN 'relation' THEN o.relation = g.relation WHEN 'pinyin' THEN o.pinyin = g.pinyin WHEN 'layout' THEN o.layout = g.layout ELSE o.pinyin = g.pinyin AND o.relation = g.relation END), "
-    "p AS (SELECT kind, edge_id, arg_min(wrong, md5('wrong|' || kind || '|' || edge_id || '|' || wrong)) AS wrong FROM c GROUP BY 1, 2) "
-    "SELECT kind, g.edge_id, wrong, wrong IS NOT NULL AS available FROM g CROSS JOIN (VALUES ('relation'), ('pinyin'), ('layout'), ('pinyin+relation')) t(kind) LEFT JOIN p USING (kind, edge_id)"
+    f"WITH {E_SQL}, {EDGES_SQL}, {OFF_SQL}, {loo_sql('relation', 'family')}, res AS (SELECT edge_id, {sub_sql('d.c', 'proto')} AS r FROM d JOIN h USING (relation, family)), "
+    "ky AS (" + " UNION ALL ".join(f"SELECT '{k}' AS kind, edge_id, anchor, concat_ws('|', {', '.join(c)}) AS key FROM g" for k, c in _KINDS) + "), "
+    "an AS (SELECT kind, key, anchor, row_number() OVER (PARTITION BY kind, key ORDER BY md5('anchor|' || kind || '|' || anchor), anchor) - 1 AS i, count(*) OVER (PARTITION BY kind, key) AS m FROM (SELECT DISTINCT kind, key, anchor FROM ky)), "
+    f"dr AS (SELECT ky.kind, edge_id, key, CASE WHEN m > 1 THEN {_DRAW_SQL.replace('kind', 'ky.kind')} % (m - 1) END AS r, i FROM ky JOIN an USING (kind, key, anchor)), "
+    "pk AS (SELECT dr.kind, edge_id, an.anchor AS wrong FROM dr LEFT JOIN an ON an.kind = dr.kind AND an.key = dr.key AND an.i = dr.r + CASE WHEN dr.r >= dr.i THEN 1 ELSE 0 END), "
+    f"rd AS (SELECT kind, edge_id, CASE WHEN q >= anchor THEN q + 1 ELSE q END AS wrong FROM (SELECT 'random' AS kind, edge_id, anchor, {_DRAW_SQL.replace('kind', chr(39) + 'random' + chr(39))} % ((SELECT count(*) FROM e) - 1) AS q FROM g)), "
+    "al AS (SELECT * FROM pk UNION ALL SELECT * FROM rd) "
+    f"SELECT kind, edge_id, wrong, wrong IS NOT NULL AS available, round({cos_sql('r', 'e.v')}, 6) AS residual_cosine FROM al LEFT JOIN res USING (edge_id) LEFT JOIN e ON e.id = wrong"
 )
 def matched_wrong_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each edge and kind of match another edge's anchor that agrees with it, by least hash."""
-    g = edges(spark, sf_dir)
-    parts = None
-    for kind, keys in (("relation", ["relation"]), ("pinyin", ["pinyin"]), ("layout", ["layout"]), ("pinyin+relation", ["pinyin", "relation"])):
-        anchors = g.select(*keys, F.col("anchor").alias("wrong")).distinct()  # at most one row for each key and anchor
-        c = g.select("edge_id", "anchor", *keys).join(anchors, keys).where("wrong <> anchor").groupBy("edge_id").agg(F.min_by("wrong", hashed("wrong", kind, F.col("edge_id"), F.col("wrong"))).alias("wrong"))
-        c = g.select("edge_id").join(c, "edge_id", "left").select(F.lit(kind).alias("kind"), "edge_id", "wrong", F.col("wrong").isNotNull().alias("available"))
-        parts = c if parts is None else parts.unionByName(c)
-    return parts
+    """For each edge and kind of match another anchor that agrees with it, and its cosine with the edge's residual.
+
+    The anchors of a key stand in a hash order; the edge draws a place among those that are not its own,
+    so nothing pairs edges with all anchors. `random` draws any entity but the own anchor. Without
+    another anchor, or without a prototype for the residual, the value is null.
+    """
+    e, g = entities(spark, sf_dir), edges(spark, sf_dir)
+    draw = lambda kind: F.conv(F.substring(hashed("wrong", kind, F.col("edge_id")), 1, 12), 16, 10).cast("long")
+    parts = []
+    for kind, keys in _KINDS:
+        anchors = g.select(*keys, "anchor").distinct()
+        place = Window.partitionBy(*keys).orderBy(hashed("anchor", kind, F.col("anchor")), "anchor")
+        placed = anchors.withColumn("i", F.row_number().over(place) - 1).join(anchors.groupBy(*keys).agg(F.count("*").alias("m")), keys)
+        own = g.select("edge_id", "anchor", *keys).join(placed, [*keys, "anchor"])
+        r = F.when(F.col("m") > 1, F.pmod(draw(kind), F.greatest(F.col("m") - 1, F.lit(1))))
+        own = own.select("edge_id", *keys, (r + (r >= F.col("i")).cast("long")).alias("i"))
+        found = own.join(placed.select(*keys, F.col("i").cast("long").alias("i"), F.col("anchor").alias("wrong")), [*keys, "i"], "left")
+        parts.append(found.select(F.lit(kind).alias("kind"), "edge_id", "wrong"))
+    n = e.count()
+    r = F.pmod(draw("random"), F.lit(max(n - 1, 1)))
+    parts.append(g.select(F.lit("random").alias("kind"), "edge_id", (r + (r >= F.col("anchor")).cast("long")).alias("wrong")))
+    residual = held_out_rows(spark, sf_dir, e).select("edge_id", subtract("c", "proto").alias("r"))
+    every = reduce(DataFrame.unionByName, parts).join(residual, "edge_id", "left").join(e.select(F.col("id").alias("wrong"), "v"), "wrong", "left")
+    return every.select("kind", "edge_id", "wrong", F.col("wrong").isNotNull().alias("available"), r6(cosine("r", "v"), "residual_cosine"))
 
 
 @query(
@@ -177,8 +219,8 @@ def recurrence_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = m.groupBy("relation").agg(F.count("*").alias("c"))
     cut = size.select("relation", "c", F.coalesce(F.sum("c").over(Window.orderBy("relation").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     places = cut.select("relation", F.explode(F.sequence(F.col("before") + 1, F.col("before") + F.col("c"))).alias("pos"))
-    drawn = m.crossJoin(spark.range(5).withColumnRenamed("id", "rep")).withColumn("h", hashed("groups", F.col("rep"), F.col("relation"), F.col("family")))
-    drawn = drawn.withColumn("pos", F.row_number().over(Window.partitionBy("rep").orderBy("h", "relation", "family")).cast("long")).select("rep", "pos", "v")
+    drawn = m.select("relation", "family").crossJoin(spark.range(5).withColumnRenamed("id", "rep")).withColumn("h", hashed("groups", F.col("rep"), F.col("relation"), F.col("family")))
+    drawn = drawn.withColumn("pos", F.row_number().over(Window.partitionBy("rep").orderBy("h", "relation", "family")).cast("long")).join(m, ["relation", "family"]).select("rep", "pos", "v")
     gain = _recurrence(observed, coherence(drawn.join(places, "pos"), ["rep", "relation"])).select("relation", (F.col("observed") - F.col("null_mean")).alias("gain"))
     # As many rows as relation classes.
     return gain.select("relation", r6(F.col("gain"), "gain"), F.rank().over(Window.orderBy(F.round("gain", 10).desc())).cast("long").alias("rank"), (F.col("gain") > 0).alias("positive"))

@@ -143,10 +143,12 @@ def support_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary(["least"], joined).drop("n").join(joined.groupBy("least").agg(F.count("edge_id").alias("n")), "least")
 
 
-@query(forward_sql() + "SELECT relation, count(*) AS n, count(DISTINCT family) AS families, round(avg(CASE WHEN offset_rank < baseline_rank THEN 1.0 ELSE 0.0 END), 6) AS improved, " + metrics_sql("offset") + " FROM f GROUP BY relation")
+@query(forward_sql() + "SELECT relation, count(*) AS n, count(DISTINCT family) AS families, round(avg(CASE WHEN offset_rank < baseline_rank THEN 1.0 ELSE 0.0 END), 6) AS improved, " + metrics_sql("offset") + ", " + ", ".join(f"count(*) FILTER (WHERE n_other >= {k}) AS n_{k}, round(avg(1.0 / offset_rank) FILTER (WHERE n_other >= {k}), 6) AS mrr_{k}" for k in (1, 5, 8)) + " FROM f GROUP BY relation")
 def relation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = forward(spark, sf_dir, entities(spark, sf_dir))
-    return f.groupBy("relation").agg(F.count("*").alias("n"), F.countDistinct("family").alias("families"), r6(F.avg((F.col("offset_rank") < F.col("baseline_rank")).cast("double")), "improved"), *[r6(c, n) for c, n in _metrics("offset")])
+    supported = lambda k: F.col("n_other") >= k
+    by_support = [x for k in (1, 5, 8) for x in (F.count_if(supported(k)).alias(f"n_{k}"), r6(F.avg(F.when(supported(k), 1 / F.col("offset_rank"))), f"mrr_{k}"))]
+    return f.groupBy("relation").agg(*by_support, F.count("*").alias("n"), F.countDistinct("family").alias("families"), r6(F.avg((F.col("offset_rank") < F.col("baseline_rank")).cast("double")), "improved"), *[r6(c, n) for c, n in _metrics("offset")])
 
 
 def _layout_sql() -> str:
