@@ -15,6 +15,9 @@ from .common import durable, read
 #: Copies of the intervals, and parts of the captures, under each pattern: a host with a third of all
 #: captures is spread over so many tasks.
 SALTS = 16
+#: Bytes of a list that is broadcast at most, in the estimate of ENTRY bytes and the pattern for each interval.
+BROADCAST_BYTES = 16_000_000
+ENTRY = 64
 ACTIONS = ("allow", "block")
 
 
@@ -68,28 +71,34 @@ def _candidates(host: str, path: str, shapes: list[tuple[int, int]]) -> Column:
     return F.filter(F.array(*made).cast("array<string>"), lambda x: x.isNotNull())
 
 
-def url_verdicts(captures: DataFrame, entries: DataFrame, key: str = "page_id") -> DataFrame:
+def url_verdicts(captures: DataFrame, entries: DataFrame, key: str = "page_id", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """key, host, verdict, pattern, since for each row of captures(key, url, fetched_at).
 
     verdict is allow or block after the most specific entry in force at fetched_at, `unlisted` without
     one, and `invalid` for a null or non-http URL or a null time. The patterns of a capture are its rows
     in the join: its host suffixes and path prefixes of the label and segment counts that the list has.
-    Equal rows of captures get equal verdicts.
+    A list of few enough bytes is broadcast; beyond that both sides are shuffled by pattern and salt. Equal rows of captures get equal verdicts.
     """
     host, path = normalised("url")
     own = captures.select(F.col(key).alias("_key"), host, path, F.col("fetched_at").cast("timestamp").alias("at"))
     listed = durable(intervals(entries))
-    shapes = listed.select(F.size(F.split(F.substring_index("pattern", "/", 1), r"\.")).alias("n"), (F.size(F.split("pattern", "/")) - 1).alias("m")).distinct()
-    shapes = [(r.n, r.m) for r in shapes.collect()]  # one row for each pair of counts
+    shapes = listed.select(F.size(F.split(F.substring_index("pattern", "/", 1), r"\.")).alias("n"), (F.size(F.split("pattern", "/")) - 1).alias("m"), (F.octet_length("pattern") + ENTRY).alias("size"))
+    shapes = shapes.groupBy("n", "m").agg(F.sum("size").alias("size")).collect()  # one row for each pair of counts
+    size, shapes = sum(r["size"] for r in shapes), [(r.n, r.m) for r in shapes]
     longest = max((m for _, m in shapes), default=0)
     prefix = F.array_join(F.slice(segments(F.col("path")), 1, longest), "/")
-    salted = listed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     probes = own.where("host IS NOT NULL AND at IS NOT NULL")
     # Captures of one host, path prefix and time get one answer: they are joined once.
     asked = probes.select("host", prefix.alias("path"), "at")
     asked = asked.distinct()
-    rows = asked.select("host", "path", "at", F.posexplode(_candidates("host", "path", shapes)).alias("rank", "pattern")).withColumn("_salt", F.pmod(F.xxhash64("host", "path", "at"), F.lit(SALTS)).cast("int"))
-    met = rows.join(salted, ["pattern", "_salt"]).where((F.col("at") >= F.col("since")) & (F.col("until").isNull() | (F.col("at") < F.col("until"))))
+    rows = asked.select("host", "path", "at", F.posexplode(_candidates("host", "path", shapes)).alias("rank", "pattern"))
+    if size <= broadcast_bytes:
+        met = rows.join(F.broadcast(listed), "pattern")
+    else:
+        salted = listed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.withColumn("_salt", F.pmod(F.xxhash64("host", "path", "at"), F.lit(SALTS)).cast("int"))
+        met = rows.hint("merge").join(salted.hint("merge"), ["pattern", "_salt"])
+    met = met.where((F.col("at") >= F.col("since")) & (F.col("until").isNull() | (F.col("at") < F.col("until"))))
     best = met.groupBy("host", "path", "at").agg(F.min(F.struct("rank", "pattern", "action", "since")).alias("m"))
     own = own.withColumn("_prefix", prefix)
     best = best.select(F.col("host").alias("_h"), F.col("path").alias("_p"), F.col("at").alias("_a"), "m")

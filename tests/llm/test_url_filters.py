@@ -1,6 +1,8 @@
 from datetime import datetime
 
-from kinvec.llm.url_filters import intervals, url_verdicts
+import pytest
+
+from kinvec.llm.url_filters import BROADCAST_BYTES, intervals, url_verdicts
 
 ENTRIES = [
     ("bad.org", "block", "2024-03-01"), ("bad.org", "clear", "2024-06-01"), ("ok.bad.org", "allow", "2024-01-01"),
@@ -20,11 +22,12 @@ def day(x):
     return datetime.fromisoformat(x) if x else None
 
 
-def test_verdicts(spark):
+@pytest.mark.parametrize("limit", [BROADCAST_BYTES, 0])
+def test_verdicts(spark, limit):
     rows = [(i, u, day(t), "p", 1) for i, (u, t, _) in enumerate(CASES)]
     captures = spark.createDataFrame(rows + rows[:2], "page_id long, url string, fetched_at timestamp, pattern string, since int")
     entries = spark.createDataFrame([(p, a, day(t)) for p, a, t in ENTRIES], "pattern string, action string, listed_at timestamp")
-    got = [(r.page_id, r.verdict) for r in url_verdicts(captures, entries).collect()]
+    got = [(r.page_id, r.verdict) for r in url_verdicts(captures, entries, broadcast_bytes=limit).collect()]
     assert len(got) == len(CASES) + 2
     assert dict(got) == {i: v for i, (_, _, v) in enumerate(CASES)}
 
