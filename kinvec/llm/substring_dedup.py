@@ -4,8 +4,10 @@ The index holds sorted immutable runs of Parquet files at three grains: whole do
 fingerprints and windows. The coarse fingerprint of a window of 20 words is the least hash of the
 6-word grams in it, so some eight neighbouring windows share one and equal windows always agree. A
 batch is merge-joined with the runs of coarse fingerprints; only where one is found twice are windows
-hashed in full (96 bits), which verifies the coarse match, and merge-joined with the runs of windows.
-Then the batch becomes a run itself, and too many runs are compacted into one.
+hashed in full (95 bits), which verifies the coarse match, and merge-joined with the runs of windows.
+Then the batch becomes a run itself, and too many runs are compacted into one. A coarse fingerprint seen
+once carries its document, so that a later repeat has only the documents it names hashed again. The runs
+in force are named by a manifest, written last, from which an index is opened again.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from functools import reduce
 
 import numpy as np
 import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,7 +55,7 @@ def coarse_fingerprints(words: list[bytes]) -> np.ndarray:
 
 
 def window_fingerprints(words: list[bytes], wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and 96-bit fingerprints of the windows whose coarse fingerprint is wanted (sorted)."""
+    """Starts and 95-bit fingerprints of the windows whose coarse fingerprint is wanted (sorted)."""
     none = np.empty(0, np.int64)
     if len(words) < WINDOW or not len(wanted):
         return none, none, none
@@ -66,13 +69,48 @@ def window_fingerprints(words: list[bytes], wanted: np.ndarray) -> tuple[np.ndar
 
 
 class FingerprintIndex:
-    """Runs of one index under a folder that executors share. A new object starts an empty index."""
+    """Runs of one index under a folder that executors share.
 
-    def __init__(self, spark: SparkSession, path: str | None = None, broadcast_fingerprints: int = BROADCAST_FINGERPRINTS):
+    A path that holds an index opens it as its last finished batch left it; any other starts an empty one.
+    The index holds no texts: earlier(doc_id, text) gives the documents of the batches before, and no
+    others, to an index that is opened again.
+    """
+
+    def __init__(
+        self,
+        spark: SparkSession,
+        path: str | None = None,
+        broadcast_fingerprints: int = BROADCAST_FINGERPRINTS,
+        earlier: DataFrame | None = None,
+    ):
         self.spark, self.path = spark, path or f"{shared_folder(spark)}/index/{uuid.uuid4().hex}"
         self.limit = broadcast_fingerprints
         self.runs: dict[str, list[str]] = {"documents": [], "coarse": [], "windows": []}
-        self.heap: list[DataFrame] = []
+        self.heap: list[DataFrame] = [] if earlier is None else [texts(earlier).where("doc_id is not null")]
+        self.version = 0
+        if path:
+            self._open()
+
+    def _open(self) -> None:
+        """Takes up the runs of the newest manifest, if there is one."""
+        schema = "version int, grain string, run string"
+        try:
+            named = self.spark.read.schema(schema).parquet(f"{self.path}/manifest").where("version is not null").collect()
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return
+        self.version = max((r.version for r in named), default=0)
+        for r in named:
+            if r.version == self.version and r.run:
+                self.runs[r.grain].append(f"{self.path}/{r.grain}/{r.run}")
+
+    def _commit(self) -> None:
+        """Names the runs in force; a batch counts only from here on."""
+        self.version += 1
+        named = [(g, r.rsplit("/", 1)[1]) for g, runs in self.runs.items() for r in runs]
+        named = self.spark.createDataFrame(named, "grain string, run string").coalesce(1)
+        named.write.parquet(f"{self.path}/manifest/version={self.version}")
 
     def history(self, grain: str, schema: str) -> DataFrame:
         """Every row of the runs of a grain."""
@@ -122,6 +160,15 @@ class FingerprintIndex:
 
         return map_columns(docs.select("doc_id", "text").join(own, "doc_id").select("doc_id", "text", "wanted"), start, out)
 
+    def _earlier_windows(self, again: DataFrame) -> DataFrame:
+        """k1, k2 of the windows with fingerprint c in the earlier document that each row of again names."""
+        if not self.heap:
+            raise ValueError("an index that is opened again needs the earlier documents")
+        low, high = again.agg(F.min("again"), F.max("again")).first()
+        named = reduce(DataFrame.unionByName, self.heap).where(F.col("doc_id").between(low, high))
+        named = restricted(named, again.select(F.col("again").alias("doc_id")).distinct(), True, self.limit)
+        return durable(self._windows(named, again.select("c")).select("k1", "k2").distinct())
+
     def add(self, docs: DataFrame) -> DataFrame:
         """Adds a batch; doc_id, copy, pos for its windows that also start earlier.
 
@@ -137,27 +184,37 @@ class FingerprintIndex:
         whole = self.append("documents", whole, ["f1", "f2"])
         marked = batch.where(f"n >= {WINDOW}").join(whole, ["f1", "f2"])
         copies = durable(marked.where("old or doc_id > first").select("doc_id"))
-        fresh = marked.where("not old and doc_id = first").select(F.explode("coarse").alias("c"))
-
-        past = self.history("coarse", "c long, twice boolean, again boolean").groupBy("c").agg(F.max("twice").alias("was_twice"))
-        counted = fresh.groupBy("c").agg((F.count("*") > 1).alias("here")).join(past, "c", "left")
-        counted = counted.select("c", (F.col("here") | F.col("was_twice").isNotNull()).alias("twice"), (~F.coalesce("was_twice", F.lit(True))).alias("again"))
+        fresh = marked.where("not old and doc_id = first").select("doc_id", F.explode("coarse").alias("c"))
+
+        past = self.history("coarse", "c long, twice boolean, doc_id long, again long").groupBy("c")
+        past = past.agg(F.max("twice").alias("was_twice"), F.max("doc_id").alias("was_in"))
+        counted = fresh.groupBy("c").agg((F.count("*") > 1).alias("here"), F.max("doc_id").alias("doc_id")).join(past, "c", "left")
+        counted = counted.select(
+            "c",
+            (F.col("here") | F.col("was_twice").isNotNull()).alias("twice"),
+            F.when(~F.col("here"), F.col("doc_id")).alias("doc_id"),
+            F.when(~F.col("was_twice"), F.col("was_in")).alias("again"),
+        )
         counted = self.append("coarse", counted, ["c"])
 
         # Windows of earlier batches come from their runs, and from the texts where a fingerprint was single until now.
-        again = counted.where("again").select("c")
-        back = [durable(self._windows(h, again).select("k1", "k2").distinct()) for h in self.heap] if self.heap and not again.isEmpty() else []
-        earlier = reduce(DataFrame.unionByName, back, self.history("windows", "k1 long, k2 int, first struct<doc_id: long, pos: int>, n long").select("k1", "k2"))
+        again = counted.where("again is not null")
+        back = None if not self.version or again.isEmpty() else self._earlier_windows(again)
+        earlier = self.history("windows", "k1 long, k2 int, first struct<doc_id: long, pos: int>, n long").select("k1", "k2")
+        if back is not None:
+            earlier = earlier.unionByName(back)
         earlier = earlier.distinct().withColumn("old", F.lit(True))
-        self.heap.append(restricted(raw, copies, False, self.limit))
-        windows = durable(self._windows(self.heap[-1], counted.where("twice").select("c")))
+        own = restricted(raw, copies, False, self.limit)
+        windows = durable(self._windows(own, counted.where("twice").select("c")))
         hashes = windows.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n"))
         hashes = self.append("windows", hashes, ["k1", "k2"])
         found = hashes.join(earlier, ["k1", "k2"], "left").where("n > 1 or old").select("k1", "k2", "first", F.coalesce("old", F.lit(False)).alias("old"))
         flagged = windows.join(durable(found), ["k1", "k2"]).where(F.col("old") | (F.struct("doc_id", "pos") > F.col("first")))
         flagged = flagged.select("doc_id", F.lit(False).alias("copy"), "pos")
-        for b in back:
-            self.append("windows", b.select("k1", "k2", F.lit(None).cast("struct<doc_id: long, pos: int>").alias("first"), F.lit(0).cast("long").alias("n")), ["k1", "k2"])
+        if back is not None:
+            self.append("windows", back.select("k1", "k2", F.lit(None).cast("struct<doc_id: long, pos: int>").alias("first"), F.lit(0).cast("long").alias("n")), ["k1", "k2"])
+        self.heap.append(raw)
+        self._commit()
         return flagged.unionByName(copies.select("doc_id", F.lit(True).alias("copy"), F.lit(None).cast("int").alias("pos")))
 
 
