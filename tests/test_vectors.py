@@ -66,6 +66,49 @@ def test_ranks_and_neighbours_equal_sorting(spark, block):
     assert neighbour_overlap(near, near, 5).agg(F.min("overlap")).first()[0] == 1
 
 
+def test_tiles_equal_sorting_with_groups_ties_and_copies(spark):
+    """More queries and candidates than a tile has, in three blocks, with copies, near copies and groups."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(9000, 3))
+    x[::7], x[1::11], x[2::13] = x[0], x[0] * 3, x[0] + 1e-6 * rng.normal(size=x[2::13].shape)
+    df = spark.createDataFrame(spark.sparkContext.parallelize([(i, r.tolist(), i % 3) for i, r in enumerate(x)], 4), "id long, v array<double>, grp long")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(i, x[i].tolist(), (i + 6) % 9000, x[(i + 6) % 9000].tolist(), i) for i in range(0, 9000, 15)]
+    asked = spark.createDataFrame(rows, "qid long, q array<double>, target long, t array<double>, exclude long").coalesce(1)
+    ids, block = np.arange(9000), 9000 * 8
+    whole = {r.qid: r for r in exact_ranks(asked, df.drop("grp"), block).collect()}
+    grouped = {r.qid: r for r in exact_ranks(asked.withColumn("grp", F.col("qid") % 3), df, block).collect()}
+    near = {}
+    for r in nearest(asked.select("qid", "q"), df, 10, block).orderBy("qid", "rank").collect():
+        near.setdefault(r.qid, []).append(r.id)
+    assert len(whole) == len(grouped) == len(near) == len(rows)
+    for q, _, target, _, _ in rows:
+        s = np.round(u @ u[q], 10)
+        order = np.lexsort((ids, -s))
+        order = order[order != q]
+        same = order[order % 3 == q % 3]
+        for got, o in ((whole[q], order), (grouped[q], same)):
+            assert (got["rank"], got.n_candidates, got.best_id) == (list(o).index(target) + 1, len(o), o[0])
+        assert near[q] == list(order[:10])
+
+
+def test_scores_take_bounded_memory(spark):
+    """12,000 queries in one partition with 12,000 candidates: 1.2 GB of scores, never held at once."""
+    import psutil
+
+    ids = spark.range(0, 12000, 1, 1)
+    df = ids.select("id", F.array(*[F.sin(F.col("id") * k) for k in (1.1, 2.3, 3.7)]).alias("v"))
+    asked = df.select(F.col("id").alias("qid"), F.col("v").alias("q"), F.col("id").alias("target"), F.col("v").alias("t"), F.lit(None).cast("long").alias("exclude"))
+    for made in (exact_ranks(asked, df), nearest(asked.select("qid", "q"), df, 3)):
+        assert made.agg(F.countDistinct("qid")).first()[0] == 12000
+    highest = []
+    for p in psutil.Process().children(recursive=True):
+        if "python" in p.name():
+            with open(f"/proc/{p.pid}/status") as f:
+                highest += [int(line.split()[1]) / 1024 for line in f if line.startswith("VmHWM")]
+    assert highest and max(highest) < 600
+
+
 def test_leave_one_group_out(spark):
     rows = [("s", "a", [2.0]), ("s", "b", [0.0]), ("s", "b", [8.0]), ("s", "c", [9.0]), ("t", "a", [1.0])]
     df = spark.createDataFrame(rows, "relation string, family string, delta array<double>")
