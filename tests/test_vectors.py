@@ -185,3 +185,41 @@ def test_all_pair_correlations_equal_brute_force(spark, block):
     r = all_pair_correlations(df, block).first()
     assert r.n_pairs == 50 * 49 // 2
     assert abs(r.pearson - np.corrcoef(x, y)[0, 1]) < 1e-9 and abs(r.spearman - np.corrcoef(rank(x), rank(y))[0, 1]) < 1e-9
+
+
+@pytest.mark.parametrize("held", [4000, 1 << 20])
+@pytest.mark.parametrize("spread", [0.0, 1e-6])
+def test_all_pair_correlations_with_copies(spark, held, spread):
+    """Many equal or nearly equal vectors, ranges of more pairs than a task holds, more vectors than a tile has."""
+    from kinvec.operators.geometry import all_pair_correlations
+
+    rnd = np.random.default_rng(6)
+    v = rnd.normal(size=(400, 6))
+    v[300:] = v[0] + spread * rnd.normal(size=(100, 6))
+    df = spark.createDataFrame([(i, x.tolist(), x[:3].tolist()) for i, x in enumerate(v)], "id long, u array<double>, w array<double>")
+    at = np.triu_indices(400, 1)
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    x, y = (np.round(unit(m) @ unit(m).T, 10)[at] for m in (v, v[:, :3]))
+
+    def rank(a):
+        _, k, c = np.unique(a, return_inverse=True, return_counts=True)
+        return (np.cumsum(c) - c + (c + 1) / 2)[k]
+
+    r = all_pair_correlations(df, held=held).first()
+    assert r.n_pairs == 400 * 399 // 2
+    assert abs(r.pearson - np.corrcoef(x, y)[0, 1]) < 1e-9 and abs(r.spearman - np.corrcoef(rank(x), rank(y))[0, 1]) < 2e-9
+
+
+def test_pearson_of_pairs_makes_no_pairs(spark):
+    """40,000 vectors: 800 million pairs, from sums of products; nearly equal vectors keep their digits."""
+    from kinvec.operators.geometry import pair_pearsons
+
+    rnd = np.random.default_rng(7)
+    v = 5 + 1e-2 * rnd.normal(size=(300, 4))
+    df = spark.createDataFrame([(i, x.tolist(), x[:3].tolist()) for i, x in enumerate(v)], "id long, u array<double>, w array<double>")
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    x, y = ((unit(m) @ unit(m).T)[np.triu_indices(300, 1)] for m in (v, v[:, :3]))
+    n, r = pair_pearsons(df, ["u", "w"])
+    assert n == 300 * 299 // 2 and abs(r[0, 1] - np.corrcoef(x, y)[0, 1]) < 1e-6
+    many = spark.range(40000).select("id", F.array(*[F.sin(F.col("id") * k) for k in (1.1, 2.3, 3.7)]).alias("u"), F.array(F.cos("id"), F.sin("id")).alias("w"))
+    assert pair_pearsons(many, ["u", "w"])[0] == 40000 * 39999 // 2
