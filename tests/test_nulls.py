@@ -30,3 +30,14 @@ def test_folds_and_wrong_anchors(spark):
     g = {r.edge_id: r for r in edges(spark, SF).collect()}
     for r in matched_wrong_anchors(spark, SF).collect():
         assert not r.available or r.wrong != g[r.edge_id].anchor
+
+
+def test_units_of_controls_are_made_before_they_are_drawn(spark):
+    from kinvec.functions.vectors import coherence, units
+    from kinvec.sources.testdata import entities
+
+    e = entities(spark, SF).select("id", "v")
+    ready = controls(spark, SF, 2, values=units(e).drop("v"))
+    assert "v" not in ready.columns
+    late, early = ({tuple(r)[:3]: round(r.mean_cosine, 12) for r in coherence(c, ["family", "sample"]).collect()} for c in (controls(spark, SF, 2), ready))
+    assert late == early and len(early) == 50
