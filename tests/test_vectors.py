@@ -223,3 +223,17 @@ def test_pearson_of_pairs_makes_no_pairs(spark):
     assert n == 300 * 299 // 2 and abs(r[0, 1] - np.corrcoef(x, y)[0, 1]) < 1e-6
     many = spark.range(40000).select("id", F.array(*[F.sin(F.col("id") * k) for k in (1.1, 2.3, 3.7)]).alias("u"), F.array(F.cos("id"), F.sin("id")).alias("w"))
     assert pair_pearsons(many, ["u", "w"])[0] == 40000 * 39999 // 2
+
+
+@pytest.mark.parametrize("block", [7, 4096])
+def test_near_pairs_equal_a_loop(spark, block):
+    """Pairs over the edges of blocks, in blocks of no more rows than they reach, and the last rows."""
+    from kinvec.operators.geometry import near_pair_cosines
+
+    rnd = np.random.default_rng(8)
+    v = rnd.normal(size=(60, 5))
+    df = spark.createDataFrame([(i + 1, x.tolist(), x[:2].tolist()) for i, x in enumerate(v)], "pos long, u array<double>, w array<double>").repartition(3)
+    u, w = (m / np.linalg.norm(m, axis=1, keepdims=True) for m in (v, v[:, :2]))
+    want = sorted((float(u[i] @ u[j]), float(w[i] @ w[j])) for i in range(60) for j in range(i + 1, min(i + 6, 60)))
+    got = sorted((r.x, r.y) for r in near_pair_cosines(df, 5, block).collect())
+    assert len(got) == len(want) and np.allclose(got, want, atol=1e-9)
